@@ -14,7 +14,7 @@ SELECT {ms} AS sysExportTime, 167772160 + (user_id * 7919) % 65536 AS sourceIPv4
        CASE event_type WHEN 'error' THEN 17 ELSE 6 END AS protocolIdentifier, CAST(round(value * 100) AS BIGINT) AS octetDeltaCount, 1 + event_id % 64 AS packetDeltaCount,
        event_id % 256 AS tcpControlBits, event_type AS applicationName, {mac} AS sourceMacAddress, event_id % 5000 AS flowDurationMilliseconds, event_id AS sysRowId
 FROM events"""
-FLOWS_DUCKDB = _FLOWS.format(ms="epoch_ms(ts)", mac="lpad(printf('%x', event_id * 65537), 12, '0')")
+FLOWS_DUCKDB = _FLOWS.format(ms="epoch_us(ts) // 1000", mac="lpad(printf('%x', event_id * 65537), 12, '0')")
 EVENT_LAYOUT = Layout()
 
 
