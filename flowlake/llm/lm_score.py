@@ -173,12 +173,15 @@ def learn_weights(grid: list[tuple[int, int, int, int]], uniform: float, levels:
 
 
 def score_corpus(docs: DataFrame, text: str = "text", chunk: Column | None = None, bits: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. chunk: a column that gives rows of one input part one number."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. chunk: a column that gives rows of one input part, read by one task, one number; without it rows are dealt into chunks by id, at the cost of a shuffle."""
     folded = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0))
-    if chunk is None:
+    local = chunk is not None
+    if not local:
         chunk = F.pmod(F.xxhash64("doc_id"), F.lit(64))
     base = docs.select("doc_id", F.col(text).cast("binary").alias("t"), (folded != TEST_FOLD).alias("train"), (folded == DEV_FOLD).alias("dev"), chunk.alias("c"))
     base = base.withColumn("chunk", F.xxhash64("c", "dev")).drop("c")
+    if not local:
+        base = base.repartition("chunk")
     if bits is None:
         chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
         bits = max(0, int(chars // BUCKET_CHARS)).bit_length()
