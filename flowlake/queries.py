@@ -158,23 +158,23 @@ QUERIES["hist_zero_fill"] = lambda spark, d: hist.histogram(flows(spark, d), _LO
 SQL["hist_zero_fill"] = _hist_sql("true", _LO - 5 * _DAY, _LO + 2 * _DAY)
 
 
-def _derived(name: str, column: Column, sql: str) -> None:
-    QUERIES[name] = lambda spark, d: flows(spark, d).select("sysRowId", column.alias("x"))
+def _derived(name: str, column: Callable[[], Column], sql: str) -> None:
+    QUERIES[name] = lambda spark, d: flows(spark, d).select("sysRowId", column().alias("x"))
     SQL[name] = _sql(f"SELECT sysRowId, {sql} AS x FROM flows")
 
 
 _c = F.col
-_derived("derived_bps", exprs.bits_per_second(_c("octetDeltaCount"), _c("flowDurationMilliseconds")), "CASE WHEN flowDurationMilliseconds <> 0 THEN octetDeltaCount * 8000.0::DOUBLE / flowDurationMilliseconds END")
-_derived("derived_pps", exprs.packets_per_second(_c("packetDeltaCount"), _c("flowDurationMilliseconds")), "CASE WHEN flowDurationMilliseconds <> 0 THEN packetDeltaCount * 1000.0::DOUBLE / flowDurationMilliseconds END")
-_derived("derived_avg_pkt", exprs.average_packet(_c("octetDeltaCount"), _c("packetDeltaCount")), "octetDeltaCount::DOUBLE / packetDeltaCount")
-_derived("derived_duration", exprs.flow_duration(_c("sysExportTime"), _c("sysExportTime") + _c("flowDurationMilliseconds") - 100), "greatest(flowDurationMilliseconds - 100, 0)")
-_derived("fmt_ipv4", exprs.dotted(_c("sourceIPv4Address")), _IP.format("sourceIPv4Address"))
-_derived("fmt_mac", exprs.format_mac(_c("sourceMacAddress")), "rtrim(regexp_replace(sourceMacAddress, '(..)', '\\1:', 'g'), ':')")
-_derived("fmt_tcp_flags", exprs.tcp_flags(_c("tcpControlBits")), "array_to_string(list_filter([" + ", ".join(f"CASE WHEN tcpControlBits & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR"))) + "], lambda x: x IS NOT NULL), ',')")
-_derived("fmt_icmp", exprs.icmp_type_code(_c("sourceTransportPort")), "(sourceTransportPort >> 8) || '/' || (sourceTransportPort & 255)")
-_derived("fmt_protocol", exprs.protocol_name(_c("protocolIdentifier")), "CASE protocolIdentifier WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END")
-_derived("fmt_bytes", exprs.format_bytes(_c("octetDeltaCount") * 64), "CASE WHEN octetDeltaCount * 64 < 1024 THEN (octetDeltaCount * 64) || ' B' WHEN octetDeltaCount * 64 < 1048576 THEN printf('%.1f', round(octetDeltaCount * 64 / 1024.0::DOUBLE, 1)) || ' KB' ELSE printf('%.1f', round(octetDeltaCount * 64 / 1048576.0::DOUBLE, 1)) || ' MB' END")
-_derived("fmt_time", exprs.format_time(_c("sysExportTime")), "strftime(make_timestamp(sysExportTime * 1000), '%Y-%m-%d %H:%M:%S.%g')")
+_derived("derived_bps", lambda: exprs.bits_per_second(_c("octetDeltaCount"), _c("flowDurationMilliseconds")), "CASE WHEN flowDurationMilliseconds <> 0 THEN octetDeltaCount * 8000.0::DOUBLE / flowDurationMilliseconds END")
+_derived("derived_pps", lambda: exprs.packets_per_second(_c("packetDeltaCount"), _c("flowDurationMilliseconds")), "CASE WHEN flowDurationMilliseconds <> 0 THEN packetDeltaCount * 1000.0::DOUBLE / flowDurationMilliseconds END")
+_derived("derived_avg_pkt", lambda: exprs.average_packet(_c("octetDeltaCount"), _c("packetDeltaCount")), "octetDeltaCount::DOUBLE / packetDeltaCount")
+_derived("derived_duration", lambda: exprs.flow_duration(_c("sysExportTime"), _c("sysExportTime") + _c("flowDurationMilliseconds") - 100), "greatest(flowDurationMilliseconds - 100, 0)")
+_derived("fmt_ipv4", lambda: exprs.dotted(_c("sourceIPv4Address")), _IP.format("sourceIPv4Address"))
+_derived("fmt_mac", lambda: exprs.format_mac(_c("sourceMacAddress")), "rtrim(regexp_replace(sourceMacAddress, '(..)', '\\1:', 'g'), ':')")
+_derived("fmt_tcp_flags", lambda: exprs.tcp_flags(_c("tcpControlBits")), "array_to_string(list_filter([" + ", ".join(f"CASE WHEN tcpControlBits & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR"))) + "], lambda x: x IS NOT NULL), ',')")
+_derived("fmt_icmp", lambda: exprs.icmp_type_code(_c("sourceTransportPort")), "(sourceTransportPort >> 8) || '/' || (sourceTransportPort & 255)")
+_derived("fmt_protocol", lambda: exprs.protocol_name(_c("protocolIdentifier")), "CASE protocolIdentifier WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END")
+_derived("fmt_bytes", lambda: exprs.format_bytes(_c("octetDeltaCount") * 64), "CASE WHEN octetDeltaCount * 64 < 1024 THEN (octetDeltaCount * 64) || ' B' WHEN octetDeltaCount * 64 < 1048576 THEN printf('%.1f', round(octetDeltaCount * 64 / 1024.0::DOUBLE, 1)) || ' KB' ELSE printf('%.1f', round(octetDeltaCount * 64 / 1048576.0::DOUBLE, 1)) || ' MB' END")
+_derived("fmt_time", lambda: exprs.format_time(_c("sysExportTime")), "strftime(make_timestamp(sysExportTime * 1000), '%Y-%m-%d %H:%M:%S.%g')")
 
 
 def _union(spark: SparkSession, d: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Flows into hour-partitioned Parquet; compaction and retention of what is stored."""
+"""Flows into hour-partitioned Parquet; compaction and retention of what is stored.
+
+A streaming sink keeps a log of its own files, so compaction writes to a table beside it, and retention works on that table.
+"""
 
 from __future__ import annotations
 
