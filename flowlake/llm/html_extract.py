@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 
 from .common import slices, table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 # Fixed values of HTML.
 _RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "canvas", "select"))
@@ -74,29 +74,30 @@ def blocks_of(page: str) -> list[tuple[str, str, bool, bool]]:
             break
         if m.start() > at:
             parts.append(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
+        close, tag, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])  # the latter with a quote left open
+        at, tag = m.end(), (tag or "").lower()
         if not tag:
             continue
         if tag in _INLINE:
             if tag == "br":
                 parts.append(" ")
-            elif not m[1] and tag not in _VOID and _is_furniture(tag, m[3], stack[-1][2] if stack else False):
+            elif not close and tag not in _VOID and _is_furniture(tag, attrs, stack[-1][2] if stack else False):
                 flush()
                 at = _end_of(page, tag, at)
             continue
         flush()
-        if m[1]:
+        if close:
             if any(t == tag for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
         elif tag in _RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in _VOID and not m[3].endswith("/"):
+        elif tag not in _VOID and not attrs.endswith("/"):
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
             _, furniture, article = stack[-1] if stack else ("", False, False)
-            stack.append((tag, furniture or _is_furniture(tag, m[3], article), article or tag in ("article", "main")))
+            stack.append((tag, furniture or _is_furniture(tag, attrs, article), article or tag in ("article", "main")))
     flush()
     return out
 

@@ -14,6 +14,7 @@ replaced, an empty table gives an empty result. Scoring is map-only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -52,8 +53,10 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return trans
 
 
-def parse_table(data: bytes, classes: np.ndarray, n_classes: int) -> np.ndarray:
-    """table[state * n_classes + class]: twice the next state, plus 1 if a new phrase starts there."""
+@lru_cache(maxsize=64)
+def parse_table(data: bytes, class_bytes: bytes, n_classes: int) -> np.ndarray:
+    """table[state * n_classes + class of the byte]: twice the next state, plus 1 if a new phrase starts there. Kept between tasks of a worker."""
+    classes = np.frombuffer(class_bytes, np.uint8)
     trans = suffix_automaton(data)
     out = np.full((len(trans), n_classes), -1, np.int32)
     for s, row in enumerate(trans):
@@ -131,7 +134,7 @@ def predict_languages(docs: DataFrame, samples: dict[str, bytes], text: str = "t
         import pyarrow as pa
 
         n_classes = len(seen) + 1
-        tables = {k: parse_table(v, classes, n_classes) for k, v in shared.value.items()}
+        tables = {k: parse_table(v, classes.tobytes(), n_classes) for k, v in shared.value.items()}
         for batch in batches:
             for part in slices(batch, 1024):
                 texts = [t or b"" for t in part.column(len(names)).to_pylist()]
