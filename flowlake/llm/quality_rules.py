@@ -73,11 +73,13 @@ def clean_lines(docs: DataFrame, text: str = "text", min_kept: float = 0.5, min_
         F.transform(lines, lambda x: _line(x, F.btrim(x, F.lit(" \t\n\x0b\x0c\r")), short_line)).alias("lines"),
     )
     fresh = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_words", "clean_text", "__f")]
-    good = F.filter("__f.lines", lambda x: x["ok"])
-    out = docs.select(*fresh, let(words(F.col(text)), facts).alias("__f"))
+    good = F.filter("__f.f.lines", lambda x: x["ok"])
+    # The partition's number makes the struct non-deterministic to the optimiser, which else moves a later filter on kept
+    # below it and evaluates it once for every field.
+    out = docs.select(*fresh, F.struct(let(words(F.col(text)), facts).alias("f"), F.spark_partition_id().alias("p")).alias("__f"))
     out = out.select(
-        *fresh, *[F.col(f"__f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-        F.aggregate(F.filter("__f.lines", lambda x: ~x["ok"]), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("lost_words"),
+        *fresh, *[F.col(f"__f.f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.aggregate(F.filter("__f.f.lines", lambda x: ~x["ok"]), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("lost_words"),
         F.array_join(F.transform(good, lambda x: x["line"]), "\n").alias("clean_text"),
     )
     bad = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
