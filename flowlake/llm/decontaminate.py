@@ -26,9 +26,10 @@ def _shingles(w: Column, width: int) -> Column:
 
 def _fingerprint(w: Column) -> Column:
     """Majority of each bit over the words' hashes, each occurrence one vote."""
-    bit = lambda h, b: F.aggregate(F.transform(h, lambda x: F.shiftright(x, b).bitwiseAND(F.lit(1))), F.lit(0).cast("long"), lambda a, x: a + x)
-    vote = lambda h: sum((F.when(bit(h, b) * 2 > F.size(h), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)), F.lit(0).cast("long"))
-    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: vote(h))
+    one = F.lit(1).cast("long")
+    ones = lambda h, b: F.aggregate(h, F.lit(0).cast("long"), lambda n, x: n + F.call_function("shiftright", x, b).bitwiseAND(one))
+    vote = lambda h, b: F.when(ones(h, b) * 2 > F.size(h), F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))
+    return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(vote(h, b))))
 
 
 def _blocks(fingerprint: Column, radius: int) -> Column:
