@@ -5,9 +5,10 @@ compared batch by batch and pruned as soon as the posterior probability of a sim
 below `miss`; survivors are verified exactly on full shingle sets; connected components follow by alternating large-star
 and small-star steps. With 25 bands of 5 rows a pair at 0.85 is no candidate with probability 4e-7, at 0.8 with 5e-5.
 
-A bucket of a band is dealt over blocks of classes by hash, and pairs of blocks are compared in tasks of their own, so no
-task holds a whole bucket; a pair is compared in the first band it shares only. Nothing about all documents comes to the
-driver. Intermediate tables are written to the shared folder.
+A pair is compared in the first band it shares only. Crowded buckets (over CROWD classes) are dealt over blocks of classes by
+hash, and each pair of blocks is compared where both blocks are, full sets included, so no task holds a whole bucket and only
+links that join what isn't joined yet within the pair of blocks leave it, not all pairs. Nothing about all documents comes to
+the driver. Intermediate tables are written to the shared folder.
 
 Words are lower-cased in A-Z; a text of fewer words than the shingle width is one shingle; null and blank texts have no
 shingles and link with nothing. Rows with a null id are returned with component_id null and kept true. Repeated rows are
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import mix, slices, small, stored, table, word_hashes
 
-BANDS, ROWS, WIDTH, MISS, BLOCK = 25, 5, 5, 1e-6, 256
+BANDS, ROWS, WIDTH, MISS, BLOCK, CROWD = 25, 5, 5, 1e-6, 256, 64
 _Q = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)], np.uint64)
 
 
@@ -111,8 +112,36 @@ def _band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, "cls long, band long, no int")
 
 
-def _compare(threshold: float, miss: float, bands: int, rows: int):
-    """Rows sorted by (band, i, j) to pairs of classes that survive the sequential test."""
+def _linked(x: bytes, y: bytes, num: int, den: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if den * min(len(x), len(y)) < num * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return den * both >= num * (len(x) + len(y) - both)
+
+
+def _forest(a: np.ndarray, b: np.ndarray, sets: dict[int, bytes], num: int, den: int) -> np.ndarray:
+    """Which of the pairs, likeliest first, are links that join what earlier ones don't."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    keep = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        rx, ry = find(x), find(y)
+        if rx != ry and _linked(sets[x], sets[y], num, den):
+            root[rx] = ry
+            keep[k] = True
+    return keep
+
+
+def _compare(num: int, den: int, miss: float, bands: int, rows: int, verify: bool):
+    """Rows sorted by (band, i, j) to pairs of classes that survive the sequential test; with verify, to links that span them."""
+    threshold = num / den
     size = bands * rows
     steps = [(n, fewest_matches(n, threshold, miss)) for n in sorted({min(size, s) for s in (rows * 5, rows * 10, rows * 15, size)})]
 
@@ -134,8 +163,14 @@ def _compare(threshold: float, miss: float, bands: int, rows: int):
                 a, b, matches, done = a[ok], b[ok], matches[ok], n
             same = (sig[a] == sig[b]).reshape(-1, bands, rows).all(2)
             first = same.argmax(1) == mine  # each pair in the first band that it shares
-            found.append((cls[a[first]], cls[b[first]]))
-        return np.concatenate([f[0] for f in found] or [cls[:0]]), np.concatenate([f[1] for f in found] or [cls[:0]])
+            found.append((cls[a[first]], cls[b[first]], matches[first]))
+        a, b, matches = (np.concatenate([f[k] for f in found] or [cls[:0]]) for k in range(3))
+        if verify and len(a):
+            order = np.argsort(-matches, kind="stable")
+            a, b = a[order], b[order]
+            keep = _forest(a, b, {g[0]: g[6] for g in group}, num, den)
+            a, b = a[keep], b[keep]
+        return a, b
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -154,13 +189,15 @@ def _compare(threshold: float, miss: float, bands: int, rows: int):
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
-            for band, i, j, cls, block, sig, no in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            full = batch.column(7).to_pylist() if verify else [None] * batch.num_rows
+            for band, i, j, cls, block, sig, no, members in zip(*columns, full, strict=True):
                 if (band, i, j) != key:
                     close()
                     group, key = [], (band, i, j)
                     if len(out) >= 2000:
                         yield emit()
-                group.append((cls, block, sig, i, j, no))
+                group.append((cls, block, sig, i, j, no, members))
         close()
         if out:
             yield emit()
@@ -181,25 +218,35 @@ def _short(classes: DataFrame) -> DataFrame:
     return classes.select("cls", "sig").mapInArrow(run, "cls long, sig binary")
 
 
-def _candidates(classes: DataFrame, bands: int, rows: int, block: int) -> DataFrame:
+def _members(classes: DataFrame, bands: int, rows: int) -> DataFrame:
+    """Classes of buckets that hold more than one: cls, band, no, n (of the bucket), sig."""
     keys = stored(_band_keys(classes, bands, rows))
-    crowds = keys.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    members = keys.join(crowds, "band")
+    shared = keys.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return stored(keys.join(shared, "band")).join(_short(classes), "cls")
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members once for each pair of blocks that theirs is in, sorted by band and pair."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    members = members.select("cls", "band", "no", blocks.alias("nb"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
-    members = members.join(_short(classes), "cls")
-    spread = members.select("band", "no", "cls", "block", "sig", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    return spread.select("band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "cls", "block", "sig", "no")
+    rest = [c for c in members.columns if c in ("members",)]
+    members = members.select("cls", "band", "no", "sig", *rest, blocks.alias("nb"), F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
+    spread = members.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    spread = spread.select("band", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "cls", "block", "sig", "no", *rest)
+    return spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept; links are den * intersection >= num * union of the shingle sets."""
     told = stored(_describe(docs, text, width, bands, rows))
     classes = told.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("cls", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
     classes = stored(classes)
-    spread = _candidates(classes, bands, rows, block).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    pairs = stored(spread.mapInArrow(_compare(num / den, miss, bands, rows), "a long, b long").distinct())
-    links = stored(_verify(pairs, classes, docs, text, num, den, width))
+    members = _members(classes, bands, rows)
+    few, many = members.where(F.col("n") <= crowd), members.where(F.col("n") > crowd)
+    pairs = stored(_dealt(few, block).mapInArrow(_compare(num, den, miss, bands, rows, False), "a long, b long").distinct())
+    links = _verify(pairs, _sets(pairs.select(F.explode(F.array("a", "b")).alias("cls")), classes, docs, text, width), num, den)
+    crowds = many.join(_sets(many.select("cls"), classes, docs, text, width), "cls")
+    spanning = _dealt(crowds, block).mapInArrow(_compare(num, den, miss, bands, rows, True), "a long, b long")
+    links = stored(links.union(spanning).distinct())
     roots = components(links)
     label = roots.join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("component")).join(roots, "root").select("cls", "component")
     label = classes.select("cls", "rep").join(label, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
@@ -208,8 +255,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, num: int, den: int, width: int) -> DataFrame:
-    need = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "rep"), "cls"))
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, text: str, width: int) -> DataFrame:
+    """cls and its full set (packed hashes) of the wanted classes, made again from one text each."""
+    need = stored(wanted.distinct().join(classes.select("cls", "rep"), "cls"))
 
     def sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -223,18 +271,15 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, nu
                 yield pa.RecordBatch.from_arrays([pa.array(cls[ok]), pa.array([shingle[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary())], names=["cls", "members"])
 
     texts = docs.select("doc_id", F.col(text).cast("binary").alias("t")).join(small(need, 100_000), F.col("doc_id") == F.col("rep")).select("cls", "t")
-    full = stored(texts.mapInArrow(sets, "cls long, members binary").dropDuplicates(["cls"]))
+    return stored(texts.mapInArrow(sets, "cls long, members binary").dropDuplicates(["cls"]))
+
 
+def _verify(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
     def check(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            ok = []
-            for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
-                    ok.append(k)
+            ok = [k for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)) if _linked(x, y, num, den)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).take(pa.array(ok, pa.int64()))
 
     left, right = full.select(F.col("cls").alias("a"), F.col("members").alias("x")), full.select(F.col("cls").alias("b"), F.col("members").alias("y"))
