@@ -120,7 +120,11 @@ def word_hashes(texts: list[bytes | None], lower: bool = True) -> tuple[np.ndarr
     return hashes, np.diff(np.concatenate(([0], upto)))
 
 
-def slices(batch, rows: int = 256):
-    """Parts of an Arrow batch, so that memory doesn't follow the batch size that a session sets."""
+def slices(batch, rows: int = 256, size: int = 4 << 20):
+    """Parts of an Arrow batch, so that memory doesn't follow the batch size that a session sets: so many rows and, unless of one row, so many bytes at most."""
     for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+        part = batch.slice(at, rows)
+        if part.nbytes > size and part.num_rows > 1:
+            yield from slices(part, part.num_rows // 2, size)
+        else:
+            yield part

@@ -51,13 +51,17 @@ def features(texts: list[bytes | None], bits: int) -> tuple[np.ndarray, np.ndarr
     return rows, cols, value / norm[rows]
 
 
-def train_ftrl(texts: list[bytes | None], labels: np.ndarray, bits: int = BITS, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
+def examples_of(texts: list[bytes | None], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Columns and values of each text, the bias last, in four bytes each."""
+    rows, cols, values = features(texts, bits)
+    at = np.searchsorted(rows, np.arange(len(texts) + 1))
+    return [(np.append(cols[a:b], 1 << bits).astype(np.int32), np.append(values[a:b], 1.0).astype(np.float32)) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-3) -> np.ndarray:
     """Weights (the last one is the bias) after per-row FTRL-proximal updates in the given order."""
     n = (1 << bits) + 1
     z, sq = np.zeros(n), np.zeros(n)
-    rows, cols, values = features(texts, bits)
-    at = np.searchsorted(rows, np.arange(len(texts) + 1))
-    examples = [(np.append(cols[a:b], n - 1), np.append(values[a:b], 1.0)) for a, b in zip(at[:-1], at[1:], strict=True)]
     weigh = lambda zi, ni: np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2))
     for _ in range(epochs):
         for (c, v), y in zip(examples, labels, strict=True):
@@ -78,7 +82,11 @@ def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality",
     def train(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        rows = [(o, t, y) for b in batches for o, t, y in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+        rows: list = []
+        for batch in batches:
+            for part in slices(batch):  # only features are kept, so memory follows a slice, not all texts
+                o, t, y = (part.column(i).to_pylist() for i in range(3))
+                rows += zip(o, examples_of(t, bits), y, strict=True)
         if rows:
             rows.sort(key=lambda r: r[0])
             w = train_ftrl([r[1] for r in rows], np.array([r[2] for r in rows], float), bits)
