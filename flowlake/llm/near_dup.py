@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     roots = components(links)
     label = roots.join(classes.select("cls", "rep"), "cls").groupBy("root").agg(F.min("rep").alias("component")).join(roots, "root").select("cls", "component")
     label = classes.select("cls", "rep").join(label, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
-    out = told.drop("sig").join(label, "cls", "left")
+    # Stored, so that both sides of the join are plain exchanges: a class with very many copies is then split as a skewed join.
+    out = told.drop("sig").join(stored(label), "cls", "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
