@@ -2,9 +2,10 @@
 
 Every block of text belongs to a root-to-leaf path of tags. Per page, each path gets its text's length and punctuation over
 the number of its nodes; both are smoothed with neighbouring blocks in page order, fused by their product, and paths at or
-above a threshold (a share of the page's deviation) are content. Paths through elements that are never article text (nav,
-header, footer, aside, forms, scripts, styles, adverts, notices, comments: by tag, class, id or role) are furniture; within
-an article or main element all other blocks are content, since short headings and paragraphs belong to it.
+above a threshold (a share of the page's deviation) are content, in an article or main element or not.
+Paths through elements that are never article text (nav, header, footer, aside, forms, scripts, styles, adverts, notices,
+comments: by tag, class, id or role) are furniture. Paths below the threshold are recovered where they belong to content:
+headings before a content block, and blocks between content blocks, within the element that holds that content.
 
 Blocks end at block tags; character references are decoded, white space inside a block (br included) becomes one space, blocks
 are joined by one line end. Null and empty pages give an empty text. Repeated rows are treated alike; columns named as results
@@ -36,6 +37,7 @@ _NAMES = re.compile(
 )
 _PUNCT = re.compile(r"[.,;:!?…]")
 _SPACE = re.compile(r"\s+")
+_HEADING = re.compile(r"(?:^|/)h[1-6]$")
 
 
 def _is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
@@ -122,8 +124,29 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     fused = np.sqrt(smooth(length) * (smooth(marks) + 0.01))
     of_path = {p: float(np.mean(fused[own])) for p, own in paths.items()}
     bound = share * float(np.std(fused)) if len(blocks) > 1 else 0.0
-    article = any(a and not f for _, _, f, a in blocks)
-    return "\n".join(t for p, t, f, a in blocks if not f and (a if article else of_path[p] >= bound))
+    kept = [(p, t, of_path[p] >= bound) for p, t, f, _ in blocks if not f]
+    return "\n".join(t for (_, t, _), use in zip(kept, _recovered([(p, c) for p, _, c in kept]), strict=True) if use)
+
+
+def _recovered(blocks: list[tuple[str, bool]]) -> list[bool]:
+    """Which of the blocks (path, content by ratio) are content, or belong to it by their place."""
+    use = [c for _, c in blocks]
+    after: list[str | None] = [None] * len(blocks)  # elements that hold the nearest content before and after
+    holder = lambda p: p.rpartition("/")[0] + "/"
+    for i in range(len(blocks) - 2, -1, -1):
+        after[i] = holder(blocks[i + 1][0]) if blocks[i + 1][1] else after[i + 1]
+    before = None
+    heads = False  # only headings up to the next content
+    for i in range(len(blocks) - 1, -1, -1):
+        path, content = blocks[i]
+        heads = content or heads and _HEADING.search(path) is not None
+        use[i] = use[i] or heads and (path + "/").startswith(after[i] or "\0")
+    for i, (path, content) in enumerate(blocks):
+        if content:
+            before = holder(path)
+        elif before and after[i] and (path + "/").startswith(before) and (path + "/").startswith(after[i]):
+            use[i] = True
+    return use
 
 
 def extract_text(pages: DataFrame, source: str = "html", share: float = 0.5) -> DataFrame:

@@ -256,3 +256,11 @@ def test_html(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", PAGE), (2, None, "<p>" * 3000 + "deep")], "page_id long, url string, html string")
     out = html_extract.extract_text(df).collect()
     assert [r.n_chars for r in out] == [0, len(html_extract.main_text(PAGE)), 4] and html_extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_html_article_is_a_teaser():
+    para = "A long paragraph of the story, with several marks, that goes on for quite some time, and then, at last, ends."
+    page = f"""<body><article class="card"><h3>Other</h3><p>Read on here</p></article><div class="post"><h1>Title</h1><p>{para}</p><h2>Part two</h2><p>{para}</p><p>Short</p><p>{para}</p></div></body>"""
+    assert html_extract.main_text(page).split("\n") == ["Title", para, "Part two", para, "Short", para]
+    lists = f"<body><main><div><ul><li>One</li><li>Two</li><li>Three</li></ul></div><section><h1>Title</h1><p>{para}</p><p>{para}</p></section></main></body>"
+    assert html_extract.main_text(lists).split("\n") == ["Title", para, para]
