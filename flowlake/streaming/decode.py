@@ -52,7 +52,8 @@ def decode_batch(datagrams: DataFrame, fields: tuple = FIELDS, registry: dict |
                 out += _run(session, [row])
             yield _frame(out, fields)
 
-    return datagrams.repartition(*key).sortWithinPartitions(*key, "received_ms", "seq").select(*names).mapInPandas(run, schema)
+    parts = int(datagrams.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that small tables are spread too: decoding is work by row
+    return datagrams.repartition(parts, *key).sortWithinPartitions(*key, "received_ms", "seq").select(*names).mapInPandas(run, schema)
 
 
 def decode_stream(datagrams: DataFrame, fields: tuple = FIELDS, registry: dict | None = None, template_age: float = 1800, spool_age: float = 300) -> DataFrame:

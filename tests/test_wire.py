@@ -3,7 +3,8 @@ from datetime import datetime, timezone
 
 import pytest
 
-from flowlake.sources.samples import message
+from flowlake.sources.flows import flows
+from flowlake.sources.samples import COLUMNS, datagrams, decoded, message
 from flowlake.sources.wire import Session, WireError, decode, value
 from flowlake.streaming import sink
 from flowlake.streaming.decode import SCHEMA, decode_batch, decode_stream
@@ -99,3 +100,12 @@ def test_stream_store_compact_retain(spark, tmp_path):
     sink.drop_hours(spark, merged, [hour])
     assert not (tmp_path / "compact/year=2023/month=11/day=14/hour=22").exists()
     assert SCHEMA
+
+
+@pytest.mark.parametrize("kind", ["ipfix", "netflow_v9", "netflow_v5"])
+def test_whole_table_over_many_exporters(spark, kind):
+    sf = "/root/testdata/sf0.01"
+    want = flows(spark, sf).selectExpr(*[f"CAST({c} AS BIGINT) AS {c}" for c in COLUMNS])
+    got = decoded(spark, sf, kind).selectExpr(*[f"CAST({c} AS BIGINT) AS {c}" for c in COLUMNS])
+    assert got.count() == want.count() > 3000 and got.exceptAll(want).isEmpty()
+    assert datagrams(spark, sf, kind).select("exporter_ip", "exporter_port").distinct().count() > 100
