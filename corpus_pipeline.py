@@ -38,9 +38,9 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes, in training order: position of the first copy, and copies."""
-    mixed = curriculum_mix.mix_sources(docs, keep=("text", "lang", "n_chars"))
-    return mixed.where("copies > 0").select("doc_id", "text", "lang", "source", "n_chars", "size", "copies", "taken", "position")
+    """What the mix takes, in training order: one row for each copy (from 0), with its position and the number of copies; taken is of all copies."""
+    mixed = curriculum_mix.training_order(docs, keep=("text", "lang", "n_chars"))
+    return mixed.select("doc_id", "text", "lang", "source", "n_chars", "size", "copies", "taken", "copy", "position")
 
 
 STAGES = [("quality_rules", quality_stage), ("near_dup", near_dup_stage), ("decontaminate", decontaminate_stage), ("secret_scan", secret_stage), ("curriculum_mix", mix_stage)]

@@ -1,8 +1,8 @@
 """Mixing sources to target weights along a time-varying curriculum, with DataFrame functions only.
 
 Every source has a demand that changes linearly over training time 0..1. Its integral is the source's target; inverting
-the integral at a document's place in its source's cumulative tokens gives the document's training position; documents are
-range-sorted by position. Targets share the total size by weight and stop at max_repeat times the source's size; the excess
+the integral at a document's place in its source's cumulative tokens gives its training position; a later copy's place is a
+whole source further on. Rows are range-sorted by position, by that of the first copy or one row a copy. Targets share the total size by weight and stop at max_repeat times the source's size; the excess
 goes to the others by weight.
 
 Cumulative sizes are taken within hash buckets of a source and then over the bucket totals, so a hot source is dealt over
@@ -42,7 +42,22 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, ma
 
 
 def mix_sources(docs: DataFrame, text: str = "text", weights: tuple = WEIGHTS, ramps: tuple = RAMPS, max_repeat: float = 3.0, buckets_digits: int = 3, keep: tuple = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, position (of the first copy, 0..1; null if not taken), and keep's columns."""
+    """doc_id, source, size, source_size, target, copies, taken, positions (of all copies, 0..1; empty if not taken), position (of the first; null if not taken), and keep's columns."""
+    out = _placed(docs, text, weights, ramps, max_repeat, buckets_digits, keep).withColumn("position", F.get("positions", F.lit(0)))
+    # Rows without a position are spread by id over the range of positions, so that no task gets them all.
+    at = F.coalesce(F.col("position"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 20)) / float(1 << 20))
+    out = out.withColumn("__at", at)
+    return out.repartitionByRange(F.col("__at")).sortWithinPartitions("__at").drop("__at")
+
+
+def training_order(docs: DataFrame, text: str = "text", weights: tuple = WEIGHTS, ramps: tuple = RAMPS, max_repeat: float = 3.0, buckets_digits: int = 3, keep: tuple = ()) -> DataFrame:
+    """One row for each copy taken, range-sorted by its position: the columns of mix_sources without positions, and copy (from 0)."""
+    out = _placed(docs, text, weights, ramps, max_repeat, buckets_digits, keep)
+    out = out.select("*", F.posexplode("positions").alias("copy", "position")).drop("positions")
+    return out.repartitionByRange(F.col("position")).sortWithinPartitions("position")
+
+
+def _placed(docs: DataFrame, text: str, weights: tuple, ramps: tuple, max_repeat: float, buckets_digits: int, keep: tuple) -> DataFrame:
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     sized = docs.select("doc_id", "source", *keep, F.size(words(F.col(text))).cast("long").alias("size"), key.alias("key"), F.xxhash64(text).alias("tie"))
     sized = sized.withColumn("bucket", F.substring("key", 1, buckets_digits))
@@ -58,15 +73,16 @@ def mix_sources(docs: DataFrame, text: str = "text", weights: tuple = WEIGHTS, r
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     rest = F.col("target") - passes * F.col("source_size")
     copies = F.when(F.col("size") == 0, 0).otherwise(passes + (F.col("start") + F.col("size") / 2.0 < rest).cast("long")).cast("long")
-    placed = placed.withColumns({"copies": copies, "taken": copies * F.col("size"), "u": F.least(F.lit(1.0), (F.col("start") + F.col("size") / 2.0) / F.when(F.col("target") > 0, F.col("target")))})
+    placed = placed.withColumns({"copies": copies, "taken": copies * F.col("size")})
     # Demand ramp0 + (ramp1 - ramp0) t integrates to ramp0 t + (ramp1 - ramp0) t^2 / 2; the rationalised root also holds for flat ramps.
     scale = (F.col("ramp0") + F.col("ramp1")) / 2
-    position = 2 * F.col("u") * scale / (F.col("ramp0") + F.sqrt(F.greatest(F.lit(0.0), F.pow("ramp0", F.lit(2.0)) + 2 * (F.col("ramp1") - F.col("ramp0")) * F.col("u") * scale)))
-    out = placed.select("doc_id", "source", *keep, "size", "source_size", "target", "copies", "taken", F.when(F.col("copies") > 0, position).alias("position"))
-    # Rows without a position are spread by id over the range of positions, so that no task gets them all.
-    at = F.coalesce(F.col("position"), F.pmod(F.xxhash64("doc_id", "size"), F.lit(1 << 20)) / float(1 << 20))
-    out = out.withColumn("__at", at)
-    return out.repartitionByRange(F.col("__at")).sortWithinPartitions("__at").drop("__at")
+
+    def position(k: Column) -> Column:
+        u = F.least(F.lit(1.0), (F.col("start") + k * F.col("source_size") + F.col("size") / 2.0) / F.when(F.col("target") > 0, F.col("target")))
+        return 2 * u * scale / (F.col("ramp0") + F.sqrt(F.greatest(F.lit(0.0), F.pow("ramp0", F.lit(2.0)) + 2 * (F.col("ramp1") - F.col("ramp0")) * u * scale)))
+
+    every = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), position)).otherwise(F.array().cast("array<double>"))
+    return placed.select("doc_id", "source", *keep, "size", "source_size", "target", "copies", "taken", every.alias("positions"))
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

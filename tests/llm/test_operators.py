@@ -264,3 +264,18 @@ def test_html_article_is_a_teaser():
     assert html_extract.main_text(page).split("\n") == ["Title", para, "Part two", para, "Short", para]
     lists = f"<body><main><div><ul><li>One</li><li>Two</li><li>Three</li></ul></div><section><h1>Title</h1><p>{para}</p><p>{para}</p></section></main></body>"
     assert html_extract.main_text(lists).split("\n") == ["Title", para, para]
+
+
+def test_training_order_places_every_copy(spark):
+    docs = spark.createDataFrame([(i, "x " * (1 + i % 7), "a" if i % 5 == 0 else "b") for i in range(400)], SCHEMA)
+    mixed = {r.doc_id: r for r in curriculum_mix.mix_sources(docs).collect()}
+    rows = curriculum_mix.training_order(docs).collect()
+    assert collections.Counter(r.doc_id for r in rows) == {i: r.copies for i, r in mixed.items() if r.copies} and max(r.copies for r in rows) == 3
+    assert [r.position for r in rows] == sorted(r.position for r in rows)
+    for r in rows:
+        assert r.position == mixed[r.doc_id].positions[r.copy] and (r.copy > 0 or r.position == mixed[r.doc_id].position)
+    # Words placed up to t are the demand's integral: ramp 1.5 to 0.5 for the first source, flat for the second.
+    for source, upto in (("a", lambda t: 1.5 * t - t * t / 2), ("b", lambda t: t)):
+        target = next(r.target for r in rows if r.source == source)
+        for t in (0.1, 0.3, 0.5, 0.7, 0.9, 1.0):
+            assert abs(sum(r.size for r in rows if r.source == source and r.position <= t) - target * upto(t)) <= 7
