@@ -3,7 +3,9 @@
 Windows of an item's own number of words are laid wherever a document shares a shingle of five words with it (a window
 without one has similarity 0). Windows and items get 64-bit SimHash fingerprints of their words; a multi-index over
 radius + 1 blocks of bits finds every window within the radius of an item of that size (of radius + 1 blocks one at least
-is equal), and the weighted Jaccard similarity of the shingles, by number of occurrences, verifies candidates.
+is equal). Windows beyond the radius are found by the shingles they share with an item of that size, as a window with a
+rewritten end can be similar and far. The weighted Jaccard similarity of the shingles, by number of occurrences, verifies
+both, so no pair is lost by its fingerprint.
 
 Words are lower-cased. Items of fewer than five words are one shingle. Null and blank texts or items match nothing; null ids
 are compared as ids; repeated rows give one result; equal similarities take the first window. Empty tables give an empty
@@ -69,7 +71,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     texts = windows.select("n", "w").distinct().select("n", "w", own(F.col("w")).alias("shingles"), _fingerprint(F.col("w")).alias("fp"))
     index = items.select("item_id", "n", "shingles", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item_id", "n", F.col("shingles").alias("item_shingles"), F.col("fp").alias("item_fp"), "b.block", "b.bits")
     near = texts.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("n", "w", "shingles", "fp", "b.block", "b.bits").join(index, ["n", "block", "bits"])
-    near = near.withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))).where(F.col("hamming") <= radius)
+    hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    near = near.withColumn("hamming", hamming).where(F.col("hamming") <= radius).drop("block", "bits")
+    shared = items.select("item_id", "n", F.col("shingles").alias("item_shingles"), F.col("fp").alias("item_fp"), F.explode(F.array_distinct("shingles")).alias("h"))
+    far = texts.select("*", F.explode(F.array_distinct("shingles")).alias("h")).join(small(shared, BROADCAST_ROWS), ["n", "h"])
+    far = far.withColumn("hamming", hamming).where(F.col("hamming") > radius).drop("h")
+    near = near.unionByName(far.dropDuplicates(["n", "w", "item_id"]))
     near = near.withColumn("similarity", _similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= similarity)
     near = near.select("n", "w", "item_id", "similarity", "hamming").distinct()
     found = windows.join(near, ["n", "w"])

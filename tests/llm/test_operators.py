@@ -279,3 +279,16 @@ def test_training_order_places_every_copy(spark):
         target = next(r.target for r in rows if r.source == source)
         for t in (0.1, 0.3, 0.5, 0.7, 0.9, 1.0):
             assert abs(sum(r.size for r in rows if r.source == source and r.position <= t) - target * upto(t)) <= 7
+
+
+def test_decontaminate_beyond_the_radius(spark):
+    rnd = random.Random(11)
+    items, rows = [], []
+    for k in range(60):  # 80 words: 76 shingles; 8 new words at the end leave 68 of 84, over 0.8
+        w = [f"i{k}x{rnd.randint(0, 10**6)}" for _ in range(80)]
+        items.append((k, " ".join(w)))
+        rows.append((k, " ".join([f"n{rnd.randint(0, 10**6)}" for _ in range(20)] + w[:72] + [f"n{rnd.randint(0, 10**6)}" for _ in range(30)])))
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(60)}
+    assert {r.similarity for r in found} == {68 / 84} and max(r.hamming for r in found) > decontaminate.RADIUS
