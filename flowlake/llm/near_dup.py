@@ -148,7 +148,7 @@ def _compare(num: int, den: int, miss: float, bands: int, rows: int, verify: boo
     def pairs(group: list) -> tuple[np.ndarray, np.ndarray]:
         cls = np.array([g[0] for g in group], np.int64)
         block = np.array([g[1] for g in group])
-        sig = np.frombuffer(b"".join(g[2] for g in group), np.uint16).reshape(-1, size)
+        sig = np.frombuffer(b"".join(g[2] for g in group), np.uint32).reshape(-1, size)
         i, j = group[0][3], group[0][4]
         left, right = (np.triu_indices(len(cls), 1)) if i == j else (x.ravel() for x in np.meshgrid(np.flatnonzero(block == i), np.flatnonzero(block == j), indexing="ij"))
         found: list = []
@@ -162,7 +162,7 @@ def _compare(num: int, den: int, miss: float, bands: int, rows: int, verify: boo
                 ok = matches >= least
                 a, b, matches, done = a[ok], b[ok], matches[ok], n
             same = (sig[a] == sig[b]).reshape(-1, bands, rows).all(2)
-            first = same.argmax(1) == mine  # each pair in the first band that it shares
+            first = same.argmax(1) == mine  # each pair in the first band that it shares, by the values that made the buckets
             found.append((cls[a[first]], cls[b[first]], matches[first]))
         a, b, matches = (np.concatenate([f[k] for f in found] or [cls[:0]]) for k in range(3))
         if verify and len(a):
@@ -205,24 +205,11 @@ def _compare(num: int, den: int, miss: float, bands: int, rows: int, verify: boo
     return run
 
 
-def _short(classes: DataFrame) -> DataFrame:
-    """Signatures cut to 16 bits a function: what is compared."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            sig = [np.frombuffer(s, np.uint32).astype(np.uint16).tobytes() for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary())], names=["cls", "sig"])
-
-    return classes.select("cls", "sig").mapInArrow(run, "cls long, sig binary")
-
-
 def _members(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     """Classes of buckets that hold more than one: cls, band, no, n (of the bucket), sig."""
     keys = stored(_band_keys(classes, bands, rows))
     shared = keys.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return stored(keys.join(shared, "band")).join(_short(classes), "cls")
+    return stored(keys.join(shared, "band")).join(classes.select("cls", "sig"), "cls")
 
 
 def _dealt(members: DataFrame, block: int) -> DataFrame:

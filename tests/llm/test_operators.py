@@ -292,3 +292,14 @@ def test_decontaminate_beyond_the_radius(spark):
     found = decontaminate.find_leaks(docs, bench).collect()
     assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k in range(60)}
     assert {r.similarity for r in found} == {68 / 84} and max(r.hamming for r in found) > decontaminate.RADIUS
+
+
+def test_near_dup_first_band_of_full_values(spark):
+    """Band 0 is equal in the low 16 bits only: the pair shares the other bands' buckets, and is compared there."""
+    x = np.arange(1, 126, dtype=np.uint32) * np.uint32(1_000_003)
+    y = x.copy()
+    y[:5] += np.uint32(1 << 16)
+    classes = spark.createDataFrame([(1, 1, bytearray(x.tobytes())), (2, 2, bytearray(y.tobytes()))], "cls long, rep long, sig binary")
+    dealt = near_dup._dealt(near_dup._members(classes, 25, 5), 256)
+    pairs = dealt.mapInArrow(near_dup._compare(85, 100, 1e-6, 25, 5, False), "a long, b long").collect()
+    assert [(r.a, r.b) for r in pairs] == [(1, 2)]
