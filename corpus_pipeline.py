@@ -20,10 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 or more; one row of each repeated id."""
-    kept = near_dup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    rows = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of similarity 0.8 or more; rows are known by id (null or not) and text, one of each stays."""
+    kept = near_dup.near_duplicates(docs.select("doc_id", "text"), by_text=True).where("kept").select("doc_id", "key").distinct().alias("k")
+    rows = docs.withColumn("__key", F.xxhash64("text")).alias("d")
+    rows = rows.join(kept, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("__key") == F.col("k.key")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,8 @@ the driver. Intermediate tables are written to the shared folder.
 
 Words are lower-cased in A-Z; a text of fewer words than the shingle width is one shingle; null and blank texts have no
 shingles and link with nothing. Rows with a null id are returned with component_id null and kept true. Repeated rows are
-copies of each other; rows of one id share its component. Other columns aren't carried. Empty tables give empty results.
+copies of each other; rows of one id share its component. With by_text a row is known by its id and the hash of its text, and
+rows with a null id take part, after all others. Other columns aren't carried. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -90,9 +91,9 @@ def _describe(docs: DataFrame, text: str, width: int, bands: int, rows: int) ->
             for part in slices(batch):
                 shingle, at = shingle_sets(part.column(1).to_pylist(), width)
                 sig = signatures(shingle, at, bands * rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(_class_of(shingle, at)), pa.array([s.tobytes() for s in sig], pa.binary())], names=["doc_id", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), pa.array(_class_of(shingle, at)), pa.array([s.tobytes() for s in sig], pa.binary()), part.column(2)], names=["doc_id", "n_shingles", "cls", "sig", "key"])
 
-    return docs.select("doc_id", F.col(text).cast("binary")).mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary")
+    return docs.select("doc_id", F.col(text).cast("binary"), F.xxhash64(text).alias("key")).mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary, key long")
 
 
 def _band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -222,10 +223,12 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     return spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept; links are den * intersection >= num * union of the shingle sets."""
+def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int = 100, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, miss: float = MISS, block: int = BLOCK, crowd: int = CROWD, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (by_text: and key, the text's hash; kept is the component's first id and key); links are den * intersection >= num * union of the shingle sets."""
     told = stored(_describe(docs, text, width, bands, rows))
-    classes = told.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("cls", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
+    named = told.where((F.col("n_shingles") > 0) & (F.col("doc_id").isNotNull() | F.lit(by_text)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key", "sig")).alias("m")
+    classes = named.groupBy("cls").agg(first).select("cls", F.struct("m.no_id", "m.doc_id", "m.key").alias("rep"), F.col("m.sig").alias("sig"))
     classes = stored(classes)
     members = _members(classes, bands, rows)
     few, many = members.where(F.col("n") <= crowd), members.where(F.col("n") > crowd)
@@ -239,7 +242,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", num: int = 80, den: int
     label = classes.select("cls", "rep").join(label, "cls", "left").select("cls", F.coalesce("component", "rep").alias("component"))
     # Stored, so that both sides of the join are plain exchanges: a class with very many copies is then split as a skewed join.
     out = told.drop("sig").join(stored(label), "cls", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
+    if by_text:
+        first = F.col("doc_id").eqNullSafe(F.col("component.doc_id")) & (F.col("key") == F.col("component.key"))
+        component = F.when(F.col("n_shingles") > 0, F.col("component.doc_id")).otherwise(F.col("doc_id"))
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), ((F.col("n_shingles") == 0) | first).alias("kept"), "key")
+    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component.doc_id"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -258,7 +265,8 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, text: str, wid
                 ok = np.flatnonzero(cls == want)  # ids may repeat with other texts
                 yield pa.RecordBatch.from_arrays([pa.array(cls[ok]), pa.array([shingle[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary())], names=["cls", "members"])
 
-    texts = docs.select("doc_id", F.col(text).cast("binary").alias("t")).join(small(need, 100_000), F.col("doc_id") == F.col("rep")).select("cls", "t")
+    same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.key"))
+    texts = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).cast("binary").alias("t")).join(small(need, 100_000), same).select("cls", "t")
     return stored(texts.mapInArrow(sets, "cls long, members binary").dropDuplicates(["cls"]))
 
 

@@ -27,3 +27,11 @@ def test_pipeline(spark, tmp_path):
     assert not secret_scan.spans_of(texts[3].text, secret_scan._automaton())
     out = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in out} <= {1, 3, None, 8} and [r.position for r in out] == sorted(r.position for r in out)
+
+
+def test_near_dup_stage_repeated_and_null_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(3, text(1)), (5, text(2)), (5, text(1)), (5, text(2)), (None, text(3)), (None, text(3)), (None, text(3) + " end"), (None, text(1)), (None, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
+    assert len(got) == 4 and {(r.doc_id, r.text.split()[0]) for r in got} == {(3, "w1x0"), (5, "w2x0"), (None, "w3x0"), (None, "w4x0")}
