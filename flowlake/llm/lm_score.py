@@ -1,17 +1,21 @@
 """Language-model scores by deleted interpolation.
 
-A bigram model: p(w | v) = l2 f(w | v) + l1 f(w) + l0 / (V + 1), f being maximum-likelihood estimates over training tokens and
-the weights l chosen by bucket of the context's frequency. Expectation-maximisation learns them on held-out counts: a fold of
-the training documents, predicted from the counts of the others.
-
-Counting is an exchange of requests: documents are read in chunks (parts of input splits); each chunk sends its distinct
-n-gram hashes and counts as packed arrays to the buckets of the key space, which sum them and send the sums back in the same
-order; chunks then score their texts. So no table of n-grams is ever held whole by a task or the driver. The held-out counts
-come to the driver as a grid of rounded log-probabilities, whose size does not depend on the input.
+A trigram model: p(w | u v) = l3 f(w | u v) + l2 f(w | v) + l1 f(w) + l0 / (V + 1), f being maximum-likelihood estimates over
+training tokens and the weights l chosen by bucket of the context's frequency: of u v, or of v where u v wasn't seen.
+Expectation-maximisation learns them on held-out counts: a fold of the training documents, predicted from the counts of the
+others.
+
+Counting is an exchange of requests: documents form chunks (runs of rows of a file); each chunk sends its distinct n-gram
+hashes and counts as packed arrays to the buckets of the key space, which sum them and send the sums back in the order of the
+keys; chunks then score their texts. So no table of n-grams is ever held whole by a task or the driver. A chunk is made of
+data alone (file and row number, or id and text), so reading may be split otherwise each time; every reply carries a checksum
+of its keys, and a mismatch raises. Keys of pairs and triples have as many bytes as keep the chance that an n-gram shares
+another's below one in a million. The held-out counts come to the driver as a grid of cells a quarter of a decade wide with
+their mean estimates, whose size does not depend on the input.
 
 Tokens: words lower-cased in A-Z, then one end per document. Null and blank texts are one end. Null ids are training rows.
-Repeated rows count as often as they occur. Columns other than doc_id and the text aren't carried. An empty table gives an
-empty result.
+Repeated rows count as often as they occur. A text of any length is scored whole, by one task. Columns other than doc_id and
+the text aren't carried, so their names can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,14 +23,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import fold, mix, slices, stored, table, word_hashes
 
 TEST_FOLD, FOLDS, DEV_FOLD = 2, 7, 3
-CHUNK_BYTES, BUCKET_CHARS = 4 << 20, 6_000_000
-_END, _START = np.uint64(0x1234567089ABCDEF), np.uint64(0x0FEDCBA987654321)
-_GRID = 8  # cells a decade
+CHUNK_BYTES, BUCKET_CHARS, HELD_KEYS = 4 << 20, 6_000_000, 6_000_000
+_END, _START, _TRIPLE = np.uint64(0x1234567089ABCDEF), np.uint64(0x0FEDCBA987654321), np.uint64(0x5BD1E995A5A5F00D)
+_GRID = 4  # cells a decade
 _LOWEST = -99
 
 
@@ -45,10 +49,17 @@ def _tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tok, before, sizes
 
 
-def _pair(before: np.ndarray, tok: np.ndarray) -> np.ndarray:
+def _join(before: np.ndarray, tok: np.ndarray) -> np.ndarray:
     return mix(before * np.uint64(3) + tok)
 
 
+def _triples(pair: np.ndarray, tok: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (two before, one before, token), and which places have one: all but the first of each text."""
+    inner = np.ones(len(tok), bool)
+    inner[np.cumsum(sizes) - sizes] = False
+    return _join(np.roll(pair, 1)[inner] ^ _TRIPLE, tok[inner]), inner
+
+
 def _count(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys, at = np.unique(keys, return_inverse=True)
     return keys, np.bincount(at, weight, len(keys)).astype(np.int64)
@@ -74,43 +85,68 @@ def _large(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.dtype(f"u{data[0]}"), offset=1).astype(np.int64)
 
 
-def _requests(docs: DataFrame, bits: int) -> DataFrame:
-    """chunk, kind (0: tokens, 1: start of documents and pairs), bucket, dev, keys, counts (training counts)."""
+def _keys_of(texts: list[bytes | None], width: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Keys by kind (tokens; starts of documents and pairs; triples), the text that each belongs to, tokens, what precedes them, sizes."""
+    tok, before, sizes = _tokens(texts)
+    row = np.repeat(np.arange(len(texts)), sizes)
+    pair = _join(before, tok)
+    triple, inner = _triples(pair, tok, sizes)
+    cut = np.uint64(64 - 8 * width)
+    begins = np.full(len(texts), _START) >> cut
+    return [tok, np.concatenate((begins, pair >> cut)), triple >> cut], [row, np.concatenate((np.arange(len(texts)), row)), row[inner]], tok, before, sizes
+
+
+def _requests(docs: DataFrame, bits: int, width: int) -> DataFrame:
+    """chunk, kind, bucket, dev, keys, counts (training counts). A chunk that two tasks read, or that is sent in parts, has several rows a bucket."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held: dict[int, list] = {}
         dev_of: dict[int, bool] = {}
+
+        def emit():
+            for c, parts in held.items():
+                for kind in (0, 1, 2):
+                    keys, n = _count(np.concatenate([p[kind][0] for p in parts]), np.concatenate([p[kind][1] for p in parts]))
+                    bucket = _bucket(keys, bits, 8 if kind == 0 else width)
+                    cuts = np.flatnonzero(np.diff(bucket)) + 1
+                    for k, x, b in zip(np.split(keys, cuts), np.split(n, cuts), np.split(bucket, cuts), strict=True):
+                        if len(k):
+                            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([kind], pa.int32()), pa.array([int(b[0])], pa.int64()), pa.array([dev_of[c]]), pa.array([_pack(k)], pa.binary()), pa.array([_small(x)], pa.binary())], names=["chunk", "kind", "bucket", "dev", "keys", "counts"])
+            held.clear()
+
+        size = 0
         for batch in batches:
             for part in slices(batch, 1024):
                 chunks, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
-                tok, before, sizes = _tokens(texts)
-                row = np.repeat(np.arange(len(texts)), sizes)
                 train = part.column(2).to_numpy(zero_copy_only=False)
                 dev = part.column(3).to_numpy(zero_copy_only=False)
+                keys, rows, *_ = _keys_of(texts, width)
                 for c in np.unique(chunks):
                     own = chunks == c
-                    dev_of[c] = bool(dev[own].any())
-                    pick = own[row]
-                    begins = np.full(int(own.sum()), _START)
-                    keys = _count(tok[pick], train[row[pick]]), _count(np.concatenate((begins, _pair(before[pick], tok[pick]))), np.concatenate((train[own], train[row[pick]])))
-                    held.setdefault(c, []).append(keys)
-        for c, parts in held.items():
-            for kind in (0, 1):
-                keys = np.concatenate([p[kind][0] for p in parts])
-                keys, n = _count(keys, np.concatenate([p[kind][1] for p in parts]))
-                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                cuts = np.flatnonzero(np.diff(bucket)) + 1
-                for k, x in zip(np.split(keys, cuts), np.split(n, cuts), strict=True):
-                    b = int(k[0] >> np.uint64(64 - bits)) if bits else 0
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([kind], pa.int32()), pa.array([b], pa.int64()), pa.array([dev_of[c]]), pa.array([_pack(k)], pa.binary()), pa.array([_small(x)], pa.binary())], names=["chunk", "kind", "bucket", "dev", "keys", "counts"])
+                    dev_of[int(c)] = bool(dev[own].any())
+                    held.setdefault(int(c), []).append([_count(k[own[r]], train[r[own[r]]]) for k, r in zip(keys, rows, strict=True)])
+                size += sum(len(k) for k in keys)
+                if size > HELD_KEYS:
+                    yield from emit()
+                    size = 0
+        yield from emit()
 
     return docs.select("chunk", F.col("t"), "train", "dev").mapInArrow(run, "chunk long, kind int, bucket long, dev boolean, keys binary, counts binary")
 
 
+def _bucket(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
+    return (keys >> np.uint64(8 * width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def _proof(keys: np.ndarray) -> int:
+    """A checksum of distinct keys."""
+    return int(mix(keys).sum(dtype=np.uint64).astype(np.int64)) if len(keys) else 0
+
+
 def _answer(key, pdf):
-    """The sums of a bucket to each chunk that asked, and the bucket's distinct and total training tokens as chunk null."""
+    """The sums of a bucket to each chunk that asked, in the order of its keys, and the bucket's distinct and total training tokens as chunk null."""
     import pandas as pd
 
     kind, bucket = key
@@ -120,99 +156,127 @@ def _answer(key, pdf):
     total = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
     dev = np.bincount(at, np.concatenate([c * bool(d) for c, d in zip(counts, pdf["dev"], strict=True)]), len(keys)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, asked)])
-    rows = [(c, kind, bucket, d, _small(total[at[a:b]]), _small(dev[at[a:b]]), None, None, None) for c, d, a, b in zip(pdf["chunk"], pdf["dev"], cuts[:-1], cuts[1:], strict=True)]
+    own: dict[int, tuple] = {}
+    for c, d, a, b in zip(pdf["chunk"], pdf["dev"], cuts[:-1], cuts[1:], strict=True):
+        own.setdefault(int(c), (d, []))[1].append(at[a:b])
+    rows = []
+    for c, (d, parts) in own.items():
+        spots = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+        rows.append((c, kind, bucket, d, _small(total[spots]), _small(dev[spots]), _proof(keys[spots]), None, None, None))
     if kind == 0:
         main = total - dev
-        rows.append((None, kind, bucket, None, None, None, int((total > 0).sum()), int(total.sum()), int(main.sum())))
-    names = ["chunk", "kind", "bucket", "dev", "total", "devs", "v", "n", "n_main"]
-    kinds = {"chunk": "Int64", "v": "Int64", "n": "Int64", "n_main": "Int64"}  # 64 bits whole, beside nulls
-    return pd.DataFrame({c: pd.array([r[k] for r in rows], dtype=kinds.get(c)) if c in kinds else [r[k] for r in rows] for k, c in enumerate(names)})
+        rows.append((None, kind, bucket, None, None, None, None, int((total > 0).sum()), int(total.sum()), int(main.sum())))
+    names = ["chunk", "kind", "bucket", "dev", "total", "devs", "proof", "v", "n", "n_main"]
+    kinds = ("chunk", "proof", "v", "n", "n_main")  # 64 bits whole, beside nulls
+    return pd.DataFrame({c: pd.array([r[k] for r in rows], dtype="Int64") if c in kinds else [r[k] for r in rows] for k, c in enumerate(names)})
 
 
-def _lookup(texts: list[bytes | None], answers, which: str):
-    """Tokens of a chunk with their counts: of the token, its context and the pair; which: total, or main (without held-out)."""
-    tok, before, sizes = _tokens(texts)
-    pair = _pair(before, tok)
-    keys = np.unique(tok), np.unique(np.concatenate((np.full(min(1, len(texts)), _START), pair)))
+def _lookup(texts: list[bytes | None], answers, which: str, bits: int, width: int):
+    """Sizes of a chunk's texts, and by token the counts of: the token, its context, the pair, the pair before it, the triple. which: total, or main (without held-out)."""
+    keys, _, tok, before, sizes = _keys_of(texts, width)
     got = []
-    for kind in (0, 1):
+    for kind in (0, 1, 2):
+        asked = np.unique(keys[kind])
         own = answers[answers["kind"] == kind].sort_values("bucket")
+        bucket = _bucket(asked, bits, 8 if kind == 0 else width)
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        if [_proof(k) for k in np.split(asked, cuts) if len(k)] != own["proof"].tolist():
+            raise RuntimeError("the texts of a chunk are not those that its counts were asked for")
         parts = [_large(t) - (_large(d) if which == "main" else 0) for t, d in zip(own["total"], own["devs"], strict=True)]
-        got.append(np.concatenate(parts) if parts else np.empty(0, np.int64))
-    uni = got[0][np.searchsorted(keys[0], tok)]
-    two = got[1][np.searchsorted(keys[1], pair)]
-    starts = got[1][np.searchsorted(keys[1], np.array([_START]))[0]] if len(texts) else 0
-    context = np.where(before == _START, starts, uni[np.maximum(np.arange(len(tok)) - 1, 0)])
-    return sizes, uni, context, two
-
-
-def _level(context: np.ndarray) -> np.ndarray:
-    """Bucket of a context's frequency: 0, 1, 2-3, 4-7, ..."""
-    return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0).astype(np.int64)
-
-
-def learn_weights(grid: list[tuple[int, int, int, int]], uniform: float, levels: int = 64, rounds: int = 60) -> np.ndarray:
-    """(levels, 3) weights of pair, token and uniform estimates from (level, cell of pair, cell of token, count)."""
-    weights = np.tile(np.array([0.4, 0.4, 0.2]), (levels, 1))
-    if grid:
-        level, two, one, n = (np.array(x) for x in zip(*grid, strict=True))
-        value = lambda q: np.where(q == _LOWEST, 0.0, 10.0 ** (q / _GRID))
-        p = np.stack((value(two), value(one), np.full(len(n), uniform)), 1)
+        counts = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        got.append(counts[np.searchsorted(asked, keys[kind])])
+    uni, starts, two = got[0], int(got[1][0]) if len(texts) else 0, got[1][len(texts) :]
+    first = before == _START
+    context = np.where(first, starts, np.roll(uni, 1))
+    context2 = np.where(first, starts, np.roll(two, 1))
+    three = two.copy()  # a text's first token has the start for a context, however long
+    three[~_first_places(sizes, len(tok))] = got[2]
+    return sizes, uni, context, two, context2, three
+
+
+def _first_places(sizes: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out
+
+
+def _level(context: np.ndarray, context2: np.ndarray) -> np.ndarray:
+    """Bucket of the contexts' frequencies (0, 1, 2-3, 4-7, ...): of the pair before a token, or if that wasn't seen, 64 on, of the token before it."""
+    log = lambda x: np.where(x > 0, np.floor(np.log2(np.maximum(x, 1))) + 1, 0).astype(np.int64)
+    return np.where(context2 > 0, log(context2), 64 + log(context))
+
+
+def learn_weights(cells: list[tuple[int, float, float, float, int]], uniform: float, levels: int = 128, rounds: int = 60) -> np.ndarray:
+    """(levels, 4) weights of triple, pair, token and uniform estimates from (level, the three estimates, count)."""
+    weights = np.tile(np.array([0.3, 0.3, 0.3, 0.1]), (levels, 1))
+    if cells:
+        level = np.array([c[0] for c in cells])
+        n = np.array([c[4] for c in cells], float)
+        p = np.column_stack((np.array([c[1:4] for c in cells], float), np.full(len(n), uniform)))
         for _ in range(rounds):
             part = weights[level] * p
             part = part / part.sum(1, keepdims=True) * n[:, None]
-            sums = np.stack([np.bincount(level, part[:, k], levels) for k in range(3)], 1)
+            sums = np.stack([np.bincount(level, part[:, k], levels) for k in range(4)], 1)
             seen = sums.sum(1) > 0
             weights[seen] = (sums[seen] + 1e-3) / (sums[seen] + 1e-3).sum(1, keepdims=True)
-        # Levels that weren't seen take the nearest below that was.
-        last = int(np.flatnonzero(seen)[0])
-        for k in range(levels):
-            last = k if seen[k] else last
-            weights[k] = weights[last]
+        for half in (range(64), range(64, levels)):  # levels that weren't seen take the nearest below that was
+            last = next((k for k in half if seen[k]), None)
+            for k in half:
+                if last is not None:
+                    last = k if seen[k] else last
+                    weights[k] = weights[last]
     return weights
 
 
-def score_corpus(docs: DataFrame, text: str = "text", chunk: Column | None = None, bits: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. chunk: a column that gives rows of one input part, read by one task, one number; without it rows are dealt into chunks by id, at the cost of a shuffle."""
-    folded = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0))
-    local = chunk is not None
-    if not local:
-        chunk = F.pmod(F.xxhash64("doc_id"), F.lit(64))
-    base = docs.select("doc_id", F.col(text).cast("binary").alias("t"), (folded != TEST_FOLD).alias("train"), (folded == DEV_FOLD).alias("dev"), chunk.alias("c"))
-    base = base.withColumn("chunk", F.xxhash64("c", "dev")).drop("c")
-    if not local:
-        base = base.repartition("chunk")
+def score_corpus(docs: DataFrame, text: str = "text", place: tuple[str, str] | None = None, bits: int | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. place: columns of a row's file and its number within, by which rows that are read together form a chunk; without it rows are dealt into chunks by id and text, at the cost of a shuffle."""
+    chars, count = docs.agg(F.sum(F.length(text)), F.count(F.lit(1))).first()
+    chars, count = int(chars or 0), int(count)
     if bits is None:
-        chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-        bits = max(0, int(chars // BUCKET_CHARS)).bit_length()
-    answers = stored(_requests(base, bits).groupBy("kind", "bucket").applyInPandas(_answer, "chunk long, kind int, bucket long, dev boolean, total binary, devs binary, v long, n long, n_main long"))
+        bits = (chars // BUCKET_CHARS).bit_length()
+    width = min(8, -(-(max(1, chars).bit_length() + 20) // 8))
+    folded = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0))
+    dev = folded == DEV_FOLD
+    if place:
+        per_chunk = max(1, chunk_bytes * count // max(1, chars))
+        chunk = F.xxhash64(place[0], F.floor(F.col(place[1]) / per_chunk), dev)
+    else:
+        chunk = F.xxhash64(F.pmod(F.xxhash64("doc_id", F.col(text)), F.lit(max(1, chars // chunk_bytes))), dev)
+    base = docs.select("doc_id", F.col(text).cast("binary").alias("t"), (folded != TEST_FOLD).alias("train"), dev.alias("dev"), chunk.alias("chunk"))
+    asking = base if place else base.repartition("chunk")
+    answers = stored(_requests(asking, bits, width).groupBy("kind", "bucket").applyInPandas(_answer, "chunk long, kind int, bucket long, dev boolean, total binary, devs binary, proof long, v long, n long, n_main long"))
     v, n, n_main = (int(x or 0) for x in answers.where(F.col("chunk").isNull()).agg(F.sum("v"), F.sum("n"), F.sum("n_main")).first())
-    replies = answers.where(F.col("chunk").isNotNull()).select("chunk", "dev", "kind", "bucket", "total", "devs")
+    replies = answers.where(F.col("chunk").isNotNull()).select("chunk", "dev", "kind", "bucket", "total", "devs", "proof")
+
+    def estimates(uni, context, two, context2, three, tokens):
+        return three / np.maximum(context2, 1), two / np.maximum(context, 1), uni / max(tokens, 1)
 
     def grid(texts, found):
         import pandas as pd
 
-        columns = ["level", "two", "one", "n"]
+        cells, sums = ["level", "a", "b", "c"], ["p3", "p2", "p1"]
         if not len(texts):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in columns})
-        _, uni, context, two = _lookup(list(texts["t"]), found, "main")
+            return pd.DataFrame({c: pd.Series(dtype="int64") for c in [*cells, "n"]} | {c: pd.Series(dtype="float64") for c in sums})
+        _, uni, context, two, context2, three = _lookup(list(texts["t"]), found, "main", bits, width)
+        p = estimates(uni, context, two, context2, three, n_main)
         cell = lambda x: np.where(x > 0, np.round(np.log10(np.maximum(x, 1e-12)) * _GRID), _LOWEST).astype(np.int64)
-        out = pd.DataFrame({"level": _level(context), "two": cell(two / np.maximum(context, 1)), "one": cell(uni / max(n_main, 1))})
-        return out.groupby(["level", "two", "one"], as_index=False).size().set_axis(columns, axis=1)
+        out = pd.DataFrame({"level": _level(context, context2)} | {c: cell(x) for c, x in zip(cells[1:], p, strict=True)} | dict(zip(sums, p, strict=True)) | {"n": 1})
+        return out.groupby(cells, as_index=False).sum()
 
-    held = base.where("dev").groupBy("chunk").cogroup(replies.where("dev").groupBy("chunk")).applyInPandas(grid, "level long, two long, one long, n long")
-    cells = held.groupBy("level", "two", "one").agg(F.sum("n").alias("n")).collect()  # as many as the grid has cells
-    weights = learn_weights([tuple(r) for r in cells], 1.0 / (v + 1))
+    held = base.where("dev").groupBy("chunk").cogroup(replies.where("dev").groupBy("chunk")).applyInPandas(grid, "level long, a long, b long, c long, p3 double, p2 double, p1 double, n long")
+    # As many as the grid has cells; a cell stands for its mean estimates. Sorted, so that reruns agree.
+    cells = held.groupBy("level", "a", "b", "c").agg(*[F.sum(c).alias(c) for c in ("p3", "p2", "p1", "n")]).collect()
+    weights = learn_weights(sorted((r["level"], r["p3"] / r["n"], r["p2"] / r["n"], r["p1"] / r["n"], r["n"]) for r in cells), 1.0 / (v + 1))
 
     def score(texts, found):
         import pandas as pd
 
         if not len(texts):
             return pd.DataFrame({"doc_id": pd.Series(dtype="Int64"), "held_out": pd.Series(dtype="bool"), "n_tokens": pd.Series(dtype="int64"), "n_known": pd.Series(dtype="int64"), "base_score": pd.Series(dtype="float64"), "score": pd.Series(dtype="float64")})
-        sizes, uni, context, two = _lookup(list(texts["t"]), found, "total")
+        sizes, uni, context, two, context2, three = _lookup(list(texts["t"]), found, "total", bits, width)
         at = np.cumsum(sizes) - sizes
-        w = weights[_level(context)]
-        p = w[:, 0] * (two / np.maximum(context, 1)) + w[:, 1] * (uni / max(n, 1)) + w[:, 2] / (v + 1)
+        w = weights[_level(context, context2)]
+        p = sum(w[:, k] * x for k, x in enumerate(estimates(uni, context, two, context2, three, n))) + w[:, 3] / (v + 1)
         flat = np.log10((uni + 1) / (n + v + 1))
         return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": ~texts["train"], "n_tokens": sizes, "n_known": np.add.reduceat((uni > 0).astype(np.int64), at), "base_score": np.add.reduceat(flat, at), "score": np.add.reduceat(np.log10(p), at)})
 
@@ -222,12 +286,7 @@ def score_corpus(docs: DataFrame, text: str = "text", chunk: Column | None = Non
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    size = str(spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")).lower().rstrip("b")
-    scale = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    split = int(size[:-1]) * scale[size[-1]] if size[-1:] in scale else int(size)
-    parts = max(1, split // CHUNK_BYTES)
-    docs = docs.select("doc_id", "text", F.xxhash64("_metadata.file_path", "_metadata.file_block_start", F.pmod(F.xxhash64("doc_id"), F.lit(parts))).alias("chunk"))
-    return score_corpus(docs, chunk=F.col("chunk"))
+    return score_corpus(docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")), place=("file", "row"))
 
 
 QUERIES = {"op3_lm_score": op3_lm_score}

@@ -207,8 +207,64 @@ def test_lm_score(spark, docs, odd, none):
 
 
 def test_em_weights():
-    w = lm_score.learn_weights([(0, -99, -16, 50), (3, 0, -16, 90), (3, -99, -16, 10)], 1e-6)
-    assert np.allclose(w.sum(1), 1) and w[0, 0] < 0.01 and w[3, 0] > 0.7 and np.allclose(w[63], w[3])
+    w = lm_score.learn_weights([(0, 0.0, 0.0, 0.01, 50), (3, 1.0, 1.0, 1e-5, 90), (3, 0.0, 0.0, 1e-5, 10)], 1e-6)
+    assert np.allclose(w.sum(1), 1) and w[0, 2] > 0.9 and w[3, :2].sum() > 0.7 and np.allclose(w[63], w[3])
+
+
+def lm_brute(tok, fold):
+    """Scores by a trigram model counted in plain dictionaries, with EM on exact estimates."""
+
+    def steps(i):
+        u, v = "S0", "S"
+        for w in tok[i]:
+            yield u, v, w
+            u, v = v, w
+
+    def count(ids):
+        c = [collections.Counter() for _ in range(5)]
+        for i in ids:
+            for u, v, w in steps(i):
+                for k, key in enumerate((w, (v, w), (u, v, w), v, (u, v))):
+                    c[k][key] += 1
+        return c, sum(c[0].values())
+
+    train = [i for i in tok if fold(i) != 2]
+    main, full = count([i for i in train if fold(i) != 3]), count(train)
+    uniform = 1 / (len(full[0][0]) + 1)
+
+    def at(model, u, v, w):
+        (one, two, three, ctx, ctx2), n = model
+        level = ctx2[u, v].bit_length() if ctx2[u, v] else 64 + ctx[v].bit_length()
+        return level, three[u, v, w] / max(ctx2[u, v], 1), two[v, w] / max(ctx[v], 1), one[w] / n
+
+    cells = collections.Counter(at(main, *s) for i in train if fold(i) == 3 for s in steps(i))
+    weights = lm_score.learn_weights([(*k, n) for k, n in cells.items()], uniform)
+    score = lambda level, *p: math.log10(weights[level] @ np.array([*p, uniform]))
+    return {i: sum(score(*at(full, *s)) for s in steps(i)) for i in tok}
+
+
+def test_lm_score_against_brute_force_under_other_splits(spark):
+    tok = {r.doc_id: (r.text or "").encode().lower().split() + [b""] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    want = lm_brute(tok, lambda i: zlib.crc32(str(i).encode()) % 7)
+    lazy = lm_score.op3_lm_score(spark, SF)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:  # the last read is split otherwise than the first
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        got = {r.doc_id: r.score for r in lazy.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # The grid's cells stand for their means, which moves the learned weights a little.
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) <= 2e-3 * abs(want[i]) for i in want)
+
+
+def test_lm_score_detects_other_texts():
+    import pandas as pd
+
+    answers = pd.DataFrame({"kind": [0], "bucket": [0], "total": [b"\x01\x01"], "devs": [b"\x01\x00"], "proof": [1]})
+    with pytest.raises(RuntimeError):
+        lm_score._lookup([b"a b"], answers, "total", 0, 8)
 
 
 def test_quality_classifier(spark, docs, odd, none):
