@@ -322,6 +322,55 @@ def test_html_article_is_a_teaser():
     assert html_extract.main_text(lists).split("\n") == ["Title", para, para]
 
 
+PARA = "A long paragraph of the story, with several marks, that goes on for quite some time, and then, at last, ends."
+
+
+@pytest.mark.parametrize(
+    "inner,want",
+    [
+        ('<p>See <a href="/hidden-valley">the valley</a> and <a href="/x?id=ad">this</a>.</p>', ["See the valley and this."]),
+        ('<div title="A hidden gem"><p>in div</p></div>', ["in div"]),
+        ('<div data-hidden="false">shown</div><div hidden>gone</div>', ["shown"]),
+        ('<div class="layout has-sidebar">a</div><div class="side-by-side">b</div><div class="site-nav">c</div>', ["a", "b"]),
+        ("<p>a <span class=ad><span>x</span>leak</span> b</p>", ["a b"]),
+        ("<p>x <math><mi>y</mi><mo>=</mo><mn>2</mn></math> z</p>", ["x y=2 z"]),
+        ('<p>open <a href="x>quote</a> here</p>', ["open quote here"]),
+        ('<p>text <span class="ad">Buy<p>next', ["text", "next"]),
+        ("<ul><li>one<li>two<ul><li>in</ul><li>three</ul>", ["one", "two", "in", "three"]),
+        ("<p>5 < 6 &amp; 7 > 3 <3</p>", ["5 < 6 & 7 > 3 <3"]),
+        ('<div class="comment-list"><p>Nice one, really, thanks.</p></div>', []),
+    ],
+)
+def test_html_contract(inner, want):
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>T</h1><p>{PARA}</p>{inner}<p>{PARA}</p></article></body></html>"
+    assert html_extract.main_text(page).split("\n")[2:-1] == want
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<div>x", "<!--", "<script>", "<p>", "<ul><li>x", "<span class=ad>", "<", "</script ", '<a b="', "<p><b>"])
+def test_html_is_linear(unit):
+    import time
+
+    t = time.process_time()
+    html_extract.main_text(unit * (300_000 // len(unit)))
+    assert time.process_time() - t < 6
+
+
+def test_html_against_brute_force(spark):
+    """Every page of the table: the blocks of its article, cut by plain expressions."""
+    import html
+    import re
+
+    got = {r.page_id: (r.text, r.n_chars) for r in html_extract.op6_html_extract(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    for r in rows:
+        body = re.search("<article>(.*)</article>", r.html, re.S)[1]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " ")))).strip() for b in re.split("</?(?:p|h1)>", body)]
+        want = "\n".join(b for b in blocks if b)
+        assert got[r.page_id] == (want, len(want))
+    assert len(got) == len(rows)
+    assert any(html_extract.main_text(r.html, share=5.0) != got[r.page_id][0] for r in rows)
+
+
 def test_training_order_places_every_copy(spark):
     docs = spark.createDataFrame([(i, "x " * (1 + i % 7), "a" if i % 5 == 0 else "b") for i in range(400)], SCHEMA)
     mixed = {r.doc_id: r for r in curriculum_mix.mix_sources(docs).collect()}
