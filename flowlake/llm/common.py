@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Words are runs of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -37,27 +40,73 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """All columns as one, row, beside those named, so that no name clashes; select("row.*") gives them back."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in columns.items()])
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where it is unset (tests) a local one."""
+    """The cluster's shared folder, spark.checkpoint.dir. Where it is unset, a session within one process takes a local one; any other raises, as executors would each write to their own disk."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
-        conf = "/tmp/checkpoints"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = os.path.join(tempfile.gettempdir(), "checkpoints")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 
 
+_stored: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage ends there."""
+    """The rows written to the shared folder and read again: lineage ends there. drop_stored deletes what is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast only if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop_stored(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables stored so far (since: but for the first so many). Only when no result that reads them is still to be computed."""
+    while len(_stored) > since:
+        delete(spark, _stored.pop())
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """What is stored within is deleted at the end, so results must be written by then."""
+    have = len(_stored)
+    try:
+        yield
+    finally:
+        drop_stored(spark, have)
+
+
+def _bytes(field: T.StructField) -> Column:
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        text = isinstance(kind.elementType, T.StringType)
+        return F.coalesce(F.octet_length(F.concat_ws("", c)) + 8 * F.size(c) if text else 16 * F.size(c), F.lit(0))
+    return F.lit(16)
+
+
+def small(df: DataFrame, size: int = 32 << 20) -> DataFrame:
+    """A stored table, marked for broadcast only if its values have at most so many bytes."""
+    row = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        row = row + _bytes(f)
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= size else df
 
 
 # --- numpy over Arrow buffers -------------------------------------------------

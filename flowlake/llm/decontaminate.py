@@ -1,29 +1,48 @@
 """Benchmark decontamination, with DataFrame functions only.
 
 Windows of an item's own number of words are laid wherever a document shares a shingle of five words with it (a window
-without one has similarity 0). Windows and items get 64-bit SimHash fingerprints of their words; a multi-index over
-radius + 1 blocks of bits finds every window within the radius of an item of that size (of radius + 1 blocks one at least
-is equal). Windows beyond the radius are found by the shingles they share with an item of that size, as a window with a
-rewritten end can be similar and far. The weighted Jaccard similarity of the shingles, by number of occurrences, verifies
-both, so no pair is lost by its fingerprint.
+without one has similarity 0, so none is lost). Windows and items get 64-bit SimHash fingerprints of their words. A
+multi-index over four blocks of sixteen bits finds every window within the radius of an item of that size: of four blocks
+one at least differs in a quarter of the radius or less, and an item stands in the index under all such neighbours of its
+blocks. The weighted Jaccard similarity of the shingles, by number of occurrences, verifies what is found. A window with a
+rewritten end can be similar and far, so windows beyond the radius are verified too, against the items that they share a
+shingle with; no pair is lost by its fingerprint. Words and shingles are compared by 64-bit hashes.
 
 Words are lower-cased. Items of fewer than five words are one shingle. Null and blank texts or items match nothing; null ids
-are compared as ids; repeated rows give one result; equal similarities take the first window. Empty tables give an empty
-result; other columns are not carried, so their names can't clash.
+are compared as ids; repeated rows give one result; equal similarities take the first window. Texts of any length are read
+whole; windows are rows of their own. Empty tables give an empty result. find_leaks carries no other columns, decontaminate
+carries all, whatever their names.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import let, small, stored, table, words
+from .common import let, packed, small, stored, table, words
 
-WIDTH, RADIUS, SIMILARITY, BROADCAST_ROWS = 5, 11, 0.8, 200_000
+WIDTH, RADIUS, SIMILARITY = 5, 11, 0.8
+_BLOCKS, _BITS = 4, 16
 
 
 def _shingles(w: Column, width: int) -> Column:
-    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + F.lit(k)) for k in range(width)]))
-    return F.when(F.size(w) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of the shingles in order. Words are hashed once; runs of two and four hashes are combined from shorter ones."""
+    out, done, run, have = None, 0, F.transform(w, lambda x: F.xxhash64(x)), 1
+    pair = lambda a, b: F.xxhash64(a, b)
+    while have <= width:  # the bits of width, each run from where the last ended
+        if width & have:
+            out = run if out is None else F.zip_with(out, F.slice(run, done + 1, F.size(w)), pair)
+            done += have
+        run, have = F.zip_with(run, F.slice(run, have + 1, F.size(w)), pair), have * 2
+    return F.when(F.size(w) >= width, F.slice(out, 1, F.size(w) - width + 1)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _own(w: Column) -> Column:
+    """Shingles of a window or item, numbered by occurrence, so that common elements count as often as both have them."""
+    plain = F.coalesce(*[F.when(F.size(w) == k, _shingles(w, k)) for k in range(1, WIDTH)], _shingles(w, WIDTH))
+    numbered = lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x)))
+    return let(F.sort_array(plain), numbered)
 
 
 def _fingerprint(w: Column) -> Column:
@@ -34,61 +53,77 @@ def _fingerprint(w: Column) -> Column:
     return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(vote(h, b))))
 
 
-def _blocks(fingerprint: Column, radius: int) -> Column:
-    """(number, bits) of radius + 1 blocks."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))])
+def _block(fingerprint: Column, i: int) -> Column:
+    return F.shiftrightunsigned(fingerprint, _BITS * i).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+
+
+def _blocks(fingerprint: Column) -> Column:
+    """(number, bits) of the blocks."""
+    return F.array(*[F.struct(F.lit(i).alias("block"), _block(fingerprint, i).alias("bits")) for i in range(_BLOCKS)])
+
+
+def _neighbours(fingerprint: Column, radius: int) -> Column:
+    """(number, bits) of all that differ from a block in radius / 4 bits or less."""
+    masks = [sum(1 << b for b in c) for k in range(radius // _BLOCKS + 1) for c in combinations(range(_BITS), k)]
+    every = F.array(*[F.lit(m) for m in masks])
+    one = lambda i: F.transform(every, lambda m: F.struct(F.lit(i).alias("block"), _block(fingerprint, i).bitwiseXOR(m).alias("bits")))
+    return F.flatten(F.array(*[one(i) for i in range(_BLOCKS)]))
 
 
 def _similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays as multisets."""
-    times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    shared = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x)))
-    return F.when(F.size(a) + F.size(b) > 0, let(shared, lambda s: s / (F.size(a) + F.size(b) - s))).otherwise(0.0)
+    """Weighted Jaccard of two arrays of numbered shingles."""
+    return let(F.size(F.array_intersect(a, b)), lambda s: s / F.greatest(F.lit(1), F.size(a) + F.size(b) - s))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, item_id, similarity, hamming, start_word of the best window of each pair at or above the similarity."""
+def _matches(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, radius: int, similarity: float) -> DataFrame:
+    """doc_id, key (the text's hash), item_id, similarity, hamming, start of the windows at or above the similarity."""
     items = benchmark.select("item_id", words(F.lower(F.col(item_text))).alias("w")).where(F.size("w") > 0)
     items = items.select("item_id", "w", F.size("w").alias("n"), F.least(F.lit(WIDTH), F.size("w")).alias("width"))
-    own = lambda w: F.coalesce(*[F.when(F.size(w) == k, _shingles(w, k)) for k in range(1, WIDTH)], _shingles(w, WIDTH))
-    items = stored(items.select("*", own(F.col("w")).alias("shingles"), _fingerprint(F.col("w")).alias("fp")))
-    anchors = items.select("n", "width", F.posexplode("shingles").alias("offset", "h")).distinct()
+    items = stored(items.select("*", _own(F.col("w")).alias("shingles"), _fingerprint(F.col("w")).alias("fp")))
     widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # five at most
     words_of = docs.select("doc_id", F.xxhash64(text).alias("key"), words(F.lower(F.col(text))).alias("w"))
-    placed = [F.transform(_shingles(F.col("w"), k), lambda h, i: F.struct(h.alias("h"), i.alias("at"))) for k in widths]
-    hashed = F.concat(*placed) if placed else F.array().cast("array<struct<h:bigint,at:int>>")
-    spots = words_of.select("doc_id", "key", F.size("w").alias("words"), F.explode(hashed).alias("s")).select("doc_id", "key", "words", "s.h", "s.at")
-    first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("words") - F.col("n")))
-    hits = stored(spots.join(small(anchors, BROADCAST_ROWS), "h").select("doc_id", "key", "n", first.alias("start")).distinct())
-    per_doc = small(hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "start")).alias("windows")), BROADCAST_ROWS // 10)
+    hits = None
+    for k in widths:  # items of five words and more are one pass; shorter ones, if any, have one for each length
+        anchors = items.where(F.col("width") == k).select("n", F.posexplode(_shingles(F.col("w"), k)).alias("offset", "h")).distinct()
+        spots = words_of.where(F.size("w") >= k).select("doc_id", "key", F.size("w").alias("words"), F.posexplode(_shingles(F.col("w"), k)).alias("at", "h"))
+        first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("words") - F.col("n")))
+        found = spots.join(small(anchors), "h").select("doc_id", "key", "n", first.alias("start")).distinct()
+        hits = found if hits is None else hits.union(found)
+    if hits is None:
+        hits = docs.sparkSession.createDataFrame([], "doc_id long, key long, n int, start int")
+    hits = stored(hits)
+    per_doc = stored(hits.groupBy("doc_id", "key").agg(F.collect_set(F.struct("n", "start")).alias("windows")))
     same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.key") == F.col("p.key"))
-    picked = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).alias("t")).alias("d").join(per_doc.alias("p"), same).select("d.doc_id", "d.key", "t", "windows").dropDuplicates(["doc_id", "key"])
-    cut = lambda w: F.transform("windows", lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), F.slice(w, x["start"] + 1, x["n"]).alias("w")))
-    windows = picked.select("doc_id", F.explode(let(words(F.lower("t")), cut)).alias("x")).select("doc_id", "x.n", "x.start", "x.w")
+    picked = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).alias("t")).alias("d").join(small(per_doc).alias("p"), same).select("d.doc_id", "d.key", "t", "windows").dropDuplicates(["doc_id", "key"])
+    windows = picked.select("doc_id", "key", words(F.lower("t")).alias("w"), "windows").select("doc_id", "key", "w", F.explode("windows").alias("x"))
+    windows = stored(windows.select("doc_id", "key", "x.n", "x.start", F.slice("w", F.col("x.start") + 1, F.col("x.n")).alias("w")))
     # A passage that many documents share is fingerprinted once.
-    windows = stored(windows)
-    texts = windows.select("n", "w").distinct().select("n", "w", own(F.col("w")).alias("shingles"), _fingerprint(F.col("w")).alias("fp"))
-    index = items.select("item_id", "n", "shingles", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("item_id", "n", F.col("shingles").alias("item_shingles"), F.col("fp").alias("item_fp"), "b.block", "b.bits")
-    near = texts.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("b")).select("n", "w", "shingles", "fp", "b.block", "b.bits").join(index, ["n", "block", "bits"])
+    texts = stored(windows.select("n", "w").distinct().select("n", "w", _own(F.col("w")).alias("shingles"), _fingerprint(F.col("w")).alias("fp")))
+    of_item = ["item_id", "n", F.col("shingles").alias("item_shingles"), F.col("fp").alias("item_fp")]
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
+    index = items.select(*of_item, F.explode(_neighbours(F.col("fp"), radius)).alias("b")).select("item_id", "n", "item_shingles", "item_fp", "b.block", "b.bits")
+    near = texts.select("*", F.explode(_blocks(F.col("fp"))).alias("b")).select("n", "w", "shingles", "fp", "b.block", "b.bits").join(index, ["n", "block", "bits"])
     near = near.withColumn("hamming", hamming).where(F.col("hamming") <= radius).drop("block", "bits")
-    shared = items.select("item_id", "n", F.col("shingles").alias("item_shingles"), F.col("fp").alias("item_fp"), F.explode(F.array_distinct("shingles")).alias("h"))
-    far = texts.select("*", F.explode(F.array_distinct("shingles")).alias("h")).join(small(shared, BROADCAST_ROWS), ["n", "h"])
+    far = texts.select("*", F.explode("shingles").alias("h")).join(small(items.select(*of_item, F.explode("shingles").alias("h"))), ["n", "h"])
     far = far.withColumn("hamming", hamming).where(F.col("hamming") > radius).drop("h")
-    near = near.unionByName(far.dropDuplicates(["n", "w", "item_id"]))
-    near = near.withColumn("similarity", _similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= similarity)
-    near = near.select("n", "w", "item_id", "similarity", "hamming").distinct()
-    found = windows.join(near, ["n", "w"])
+    pairs = near.unionByName(far).dropDuplicates(["n", "w", "item_id"])
+    pairs = pairs.withColumn("similarity", _similarity(F.col("shingles"), F.col("item_shingles"))).where(F.col("similarity") >= similarity)
+    return windows.join(pairs.select("n", "w", "item_id", "similarity", "hamming"), ["n", "w"]).select("doc_id", "key", "item_id", "similarity", "hamming", "start")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, item_id, similarity, hamming, start_word of the best window of each pair at or above the similarity."""
+    found = _matches(docs, benchmark, text, item_text, radius, similarity)
     best = F.max_by(F.struct("similarity", "hamming", "start"), F.struct("similarity", -F.col("hamming"), -F.col("start")))
-    out = found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", F.col("b.hamming").cast("int").alias("hamming"), F.col("b.start").alias("start_word"))
-    return out
+    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.similarity", F.col("b.hamming").cast("int").alias("hamming"), F.col("b.start").alias("start_word"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without those that leak an item."""
-    flagged = stored(find_leaks(docs, benchmark, **how).select("doc_id").distinct())
-    return docs.join(small(flagged, BROADCAST_ROWS), docs["doc_id"].eqNullSafe(flagged["doc_id"]), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the rows, known by id and text, that leak an item."""
+    flagged = stored(_matches(docs, benchmark, text, item_text, radius, similarity).select("doc_id", "key").distinct())
+    rows = packed(docs, doc_id=F.col("doc_id"), key=F.xxhash64(text)).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.key") == F.col("f.key"))
+    return rows.join(small(flagged).alias("f"), same, "left_anti").select("row.*")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

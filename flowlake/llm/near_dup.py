@@ -266,7 +266,7 @@ def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, text: str, wid
                 yield pa.RecordBatch.from_arrays([pa.array(cls[ok]), pa.array([shingle[at[k] : at[k + 1]].tobytes() for k in ok], pa.binary())], names=["cls", "members"])
 
     same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.key"))
-    texts = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).cast("binary").alias("t")).join(small(need, 100_000), same).select("cls", "t")
+    texts = docs.select("doc_id", F.xxhash64(text).alias("key"), F.col(text).cast("binary").alias("t")).join(small(need), same).select("cls", "t")
     return stored(texts.mapInArrow(sets, "cls long, members binary").dropDuplicates(["cls"]))
 
 

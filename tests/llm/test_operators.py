@@ -371,6 +371,18 @@ def test_html_against_brute_force(spark):
     assert any(html_extract.main_text(r.html, share=5.0) != got[r.page_id][0] for r in rows)
 
 
+def test_curriculum_hot_id_and_names(spark):
+    """A null or repeated id is dealt by text, and columns named as inner or result ones don't clash."""
+    docs = spark.createDataFrame([(None if i % 2 else 7, "w " * (1 + i % 5) + str(i), "a", i, i) for i in range(300)], "doc_id long, text string, source string, size long, key long")
+    from pyspark.sql import functions as F
+
+    out = curriculum_mix.training_order(docs, keep=("text", "size", "key"))
+    assert sorted(r.key for r in out.where("copy = 0").collect()) == list(range(300)) and out.columns.count("size") == 1
+    placed = curriculum_mix._placed(docs, "text", curriculum_mix.WEIGHTS, curriculum_mix.RAMPS, 3.0, 3, ("text",))
+    starts = [r.p for r in placed.select(F.get("positions", F.lit(0)).alias("p")).collect()]
+    assert len(set(starts)) == 300
+
+
 def test_training_order_places_every_copy(spark):
     docs = spark.createDataFrame([(i, "x " * (1 + i % 7), "a" if i % 5 == 0 else "b") for i in range(400)], SCHEMA)
     mixed = {r.doc_id: r for r in curriculum_mix.mix_sources(docs).collect()}
@@ -408,3 +420,49 @@ def test_near_dup_first_band_of_full_values(spark):
     dealt = near_dup._dealt(near_dup._members(classes, 25, 5), 256)
     pairs = dealt.mapInArrow(near_dup._compare(85, 100, 1e-6, 25, 5, False), "a long, b long").collect()
     assert [(r.a, r.b) for r in pairs] == [(1, 2)]
+
+
+@pytest.mark.parametrize("length", [20, 57, 120, 200])
+def test_decontaminate_recall_with_edits(spark, length):
+    """Windows of similarity 0.8 or more, edited at random places and at either end: all are found. Others aren't."""
+    rnd = random.Random(length)
+    noise = lambda n: [f"n{rnd.randint(0, 10**7)}" for _ in range(n)]
+    items, rows, want = [], [], set()
+    sh = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    for k in range(40):
+        w = [f"i{rnd.randint(0, 300)}" for _ in range(length)]
+        items.append((k, " ".join(w)))
+        edit, n = k % 3, rnd.randint(0, length // 8)
+        v = edits(w, min(n, max(1, length // 40)), rnd) if edit == 0 else w[: length - n] + noise(n) if edit == 1 else noise(n) + w[n:]
+        rows.append((k, " ".join(noise(15) + v + noise(25))))
+    for (d, t), (_, w) in zip(rows, items, strict=True):
+        t, a = t.split(), sh(w.split())
+        best = max(sum((a & b).values()) / sum((a | b).values()) for i in range(len(t) - length + 1) for b in [sh(t[i : i + length])])
+        want |= {(d, d)} if best >= 0.8 else set()
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_neighbours_hold_every_fingerprint_within_the_radius(spark):
+    rnd = random.Random(1)
+    rows = []
+    for _ in range(300):
+        a, b = rnd.getrandbits(64), 0
+        for bit in rnd.sample(range(64), 11):
+            b |= 1 << bit
+        sign = lambda x: x - (1 << 64) if x >> 63 else x
+        rows.append((sign(a), sign(a ^ b)))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "a long, b long")
+    shared = F.size(F.array_intersect(decontaminate._blocks(F.col("a")), decontaminate._neighbours(F.col("b"), 11)))
+    assert df.where(shared == 0).count() == 0
+
+
+def test_decontaminate_rows_of_one_id(spark):
+    item = " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, "clean words " * 9, "x"), (1, "lead " + item + " end", "y"), (None, item, "z")], "doc_id long, text string, w string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.decontaminate(docs, bench).collect()] == [(1, "clean words " * 9, "x")]
+    assert {r.doc_id for r in decontaminate.find_leaks(docs.withColumnRenamed("w", "n"), bench).collect()} == {1, None}

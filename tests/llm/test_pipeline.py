@@ -35,3 +35,28 @@ def test_near_dup_stage_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.near_dup_stage(spark, docs, "").collect()
     assert len(got) == 4 and {(r.doc_id, r.text.split()[0]) for r in got} == {(3, "w1x0"), (5, "w2x0"), (None, "w3x0"), (None, "w4x0")}
+
+
+def test_pipeline_empty_and_extra_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __key long, size string, kept boolean, w string"
+    bench = spark.createDataFrame([(1, "some item of the benchmark that is here")], "item_id long, text string")
+    text = "\n".join(" ".join(f"word{i}x{k}" for k in range(9)) + "." for i in range(9))
+    for name, rows in (("none", []), ("some", [(1, text, "en", None, 3, 5, "s", True, "w"), (None, text + " More.", "en", "s", 3, 6, "t", False, "v"), (3, None, None, None, None, None, None, None, None)])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+        bench.write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        got = out.collect()
+        assert {r.doc_id for r in got} == ({1} if rows else set()) and {"__key", "kept", "w", "size"} <= set(out.columns)
+        assert all(r.w == "w" and r["__key"] == 5 for r in got)
+
+
+def test_intermediate_tables_are_deleted(spark, tmp_path):
+    import os
+
+    from flowlake.llm import common
+
+    with common.scratch(spark):
+        path = common.stored(spark.range(3)).inputFiles()[0].removeprefix("file:").lstrip("/")
+        assert os.path.exists("/" + path)
+    assert not os.path.exists("/" + path)
