@@ -9,8 +9,8 @@ Counting is an exchange of requests: documents form chunks (runs of rows of a fi
 hashes and counts as packed arrays to the buckets of the key space, which sum them and send the sums back in the order of the
 keys; chunks then score their texts. So no table of n-grams is ever held whole by a task or the driver. A chunk is made of
 data alone (file and row number, or id and text), so reading may be split otherwise each time; every reply carries a checksum
-of its keys, and a mismatch raises. Keys of pairs and triples have as many bytes as keep the chance that an n-gram shares
-another's below one in a million. The held-out counts come to the driver as a grid of cells a quarter of a decade wide with
+of its keys, and a mismatch raises. Keys of pairs and triples have sixteen bits more than the corpus' characters need (64 at
+most), so the chance that an n-gram shares another's key is a few in a million at every size up to 10^14 characters. The held-out counts come to the driver as a grid of cells a quarter of a decade wide with
 their mean estimates, whose size does not depend on the input.
 
 Tokens: words lower-cased in A-Z, then one end per document. Null and blank texts are one end. Null ids are training rows.
@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import fold, mix, slices, stored, table, word_hashes
 
 TEST_FOLD, FOLDS, DEV_FOLD = 2, 7, 3
-CHUNK_BYTES, BUCKET_CHARS, HELD_KEYS = 4 << 20, 6_000_000, 6_000_000
+CHUNK_BYTES, BUCKET_CHARS, HELD_KEYS = 4 << 20, 12_000_000, 8_000_000
 _END, _START, _TRIPLE = np.uint64(0x1234567089ABCDEF), np.uint64(0x0FEDCBA987654321), np.uint64(0x5BD1E995A5A5F00D)
+_ONE = np.uint64(1)
 _GRID = 4  # cells a decade
 _LOWEST = -99
 
@@ -60,18 +61,42 @@ def _triples(pair: np.ndarray, tok: np.ndarray, sizes: np.ndarray) -> tuple[np.n
     return _join(np.roll(pair, 1)[inner] ^ _TRIPLE, tok[inner]), inner
 
 
-def _count(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weight, len(keys)).astype(np.int64)
+def _count(flagged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys (even, sorted) of keys whose lowest bit says whether to count them, and how often they count."""
+    flagged = np.sort(flagged)
+    keys = flagged & ~_ONE
+    at = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
+    return keys[at], np.add.reduceat((flagged & _ONE).astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=~keys[:1]) != 0]
+
+
+def _spread(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each of keys what found, by distinct key in order, says of it."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), found.dtype)
+    out[order] = found[np.cumsum(np.diff(ordered, prepend=ordered[:1]) != 0)] if len(keys) else found[:0]
+    return out
 
 
 def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys, byte by byte, so that what neighbours share compresses."""
-    return keys.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as the gaps between them, byte by byte, compressed."""
+    import pyarrow as pa
+
+    gaps = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + pa.compress(gaps.tobytes(), codec="zstd", asbytes=True)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+    import pyarrow as pa
+
+    n = int.from_bytes(data[:4], "little")
+    gaps = pa.decompress(data[4:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(gaps, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -91,9 +116,9 @@ def _keys_of(texts: list[bytes | None], width: int) -> tuple[list[np.ndarray], l
     row = np.repeat(np.arange(len(texts)), sizes)
     pair = _join(before, tok)
     triple, inner = _triples(pair, tok, sizes)
-    cut = np.uint64(64 - 8 * width)
-    begins = np.full(len(texts), _START) >> cut
-    return [tok, np.concatenate((begins, pair >> cut)), triple >> cut], [row, np.concatenate((np.arange(len(texts)), row)), row[inner]], tok, before, sizes
+    cut, even = np.uint64(64 - width), ~_ONE
+    begins = np.full(len(texts), _START)
+    return [tok & even, (np.concatenate((begins, pair)) >> cut) & even, (triple >> cut) & even], [row, np.concatenate((np.arange(len(texts)), row)), row[inner]], tok, before, sizes
 
 
 def _requests(docs: DataFrame, bits: int, width: int) -> DataFrame:
@@ -108,8 +133,8 @@ def _requests(docs: DataFrame, bits: int, width: int) -> DataFrame:
         def emit():
             for c, parts in held.items():
                 for kind in (0, 1, 2):
-                    keys, n = _count(np.concatenate([p[kind][0] for p in parts]), np.concatenate([p[kind][1] for p in parts]))
-                    bucket = _bucket(keys, bits, 8 if kind == 0 else width)
+                    keys, n = _count(np.concatenate([p[kind] for p in parts]))
+                    bucket = _bucket(keys, bits, 64 if kind == 0 else width)
                     cuts = np.flatnonzero(np.diff(bucket)) + 1
                     for k, x, b in zip(np.split(keys, cuts), np.split(n, cuts), np.split(bucket, cuts), strict=True):
                         if len(k):
@@ -120,13 +145,13 @@ def _requests(docs: DataFrame, bits: int, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1024):
                 chunks, texts = part.column(0).to_numpy(), part.column(1).to_pylist()
-                train = part.column(2).to_numpy(zero_copy_only=False)
+                train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint64)
                 dev = part.column(3).to_numpy(zero_copy_only=False)
                 keys, rows, *_ = _keys_of(texts, width)
                 for c in np.unique(chunks):
                     own = chunks == c
                     dev_of[int(c)] = bool(dev[own].any())
-                    held.setdefault(int(c), []).append([_count(k[own[r]], train[r[own[r]]]) for k, r in zip(keys, rows, strict=True)])
+                    held.setdefault(int(c), []).append([k[own[r]] | train[r[own[r]]] for k, r in zip(keys, rows, strict=True)])
                 size += sum(len(k) for k in keys)
                 if size > HELD_KEYS:
                     yield from emit()
@@ -137,7 +162,7 @@ def _requests(docs: DataFrame, bits: int, width: int) -> DataFrame:
 
 
 def _bucket(keys: np.ndarray, bits: int, width: int) -> np.ndarray:
-    return (keys >> np.uint64(8 * width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    return (keys >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
 def _proof(keys: np.ndarray) -> int:
@@ -152,7 +177,8 @@ def _answer(key, pdf):
     kind, bucket = key
     asked = [_unpack(k) for k in pdf["keys"]]
     counts = [_large(c) for c in pdf["counts"]]
-    keys, at = np.unique(np.concatenate(asked), return_inverse=True)
+    keys = _distinct(np.concatenate(asked))
+    at = np.concatenate([np.searchsorted(keys, k) for k in asked])
     total = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
     dev = np.bincount(at, np.concatenate([c * bool(d) for c, d in zip(counts, pdf["dev"], strict=True)]), len(keys)).astype(np.int64)
     cuts = np.cumsum([0, *map(len, asked)])
@@ -176,15 +202,15 @@ def _lookup(texts: list[bytes | None], answers, which: str, bits: int, width: in
     keys, _, tok, before, sizes = _keys_of(texts, width)
     got = []
     for kind in (0, 1, 2):
-        asked = np.unique(keys[kind])
+        asked = _distinct(keys[kind])
         own = answers[answers["kind"] == kind].sort_values("bucket")
-        bucket = _bucket(asked, bits, 8 if kind == 0 else width)
+        bucket = _bucket(asked, bits, 64 if kind == 0 else width)
         cuts = np.flatnonzero(np.diff(bucket)) + 1
         if [_proof(k) for k in np.split(asked, cuts) if len(k)] != own["proof"].tolist():
             raise RuntimeError("the texts of a chunk are not those that its counts were asked for")
         parts = [_large(t) - (_large(d) if which == "main" else 0) for t, d in zip(own["total"], own["devs"], strict=True)]
         counts = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        got.append(counts[np.searchsorted(asked, keys[kind])])
+        got.append(_spread(keys[kind], counts))
     uni, starts, two = got[0], int(got[1][0]) if len(texts) else 0, got[1][len(texts) :]
     first = before == _START
     context = np.where(first, starts, np.roll(uni, 1))
@@ -234,7 +260,7 @@ def score_corpus(docs: DataFrame, text: str = "text", place: tuple[str, str] | N
     chars, count = int(chars or 0), int(count)
     if bits is None:
         bits = (chars // BUCKET_CHARS).bit_length()
-    width = min(8, -(-(max(1, chars).bit_length() + 20) // 8))
+    width = min(64, max(bits, chars.bit_length() + 17))
     folded = F.coalesce(fold(F.col("doc_id"), FOLDS), F.lit(0))
     dev = folded == DEV_FOLD
     if place:

@@ -264,7 +264,7 @@ def test_lm_score_detects_other_texts():
 
     answers = pd.DataFrame({"kind": [0], "bucket": [0], "total": [b"\x01\x01"], "devs": [b"\x01\x00"], "proof": [1]})
     with pytest.raises(RuntimeError):
-        lm_score._lookup([b"a b"], answers, "total", 0, 8)
+        lm_score._lookup([b"a b"], answers, "total", 0, 64)
 
 
 def test_quality_classifier(spark, docs, odd, none):
