@@ -1,14 +1,19 @@
 """Language by cross-parsing entropy: a text is parsed greedily into the longest phrases that occur in a language's labelled
 text; the language that needs the fewest phrases for the text's length wins.
 
-A suffix automaton of at most sample_bytes of each language's labelled text (documents first by a hash of their id; the
-bound on training) gives the matches. It becomes a table of transitions over bytes, in which a missing one starts a new
-phrase from the root. Texts are parsed whole, many stretches of `stretch` bytes at a time; each stretch starts a phrase for
-every language alike. Texts are lower-cased and runs of other than letters become one space.
-
-Null texts and texts without a letter get `und` and score 0; so do all if nothing was learned. Ties go to the first
-language by name. Null languages aren't learned from. Repeated rows get equal results, columns named as results are
-replaced, an empty table gives an empty result. Scoring is map-only.
+A suffix automaton of at most sample_bytes of each language's labelled text (whole documents, those first by a hash of their id
+that fit; only of a language without any that fits, the beginning of one) gives the matches. sample_bytes is the bound on
+training; with many languages it shrinks so that all tables together stay within table_bytes in a worker. An automaton becomes
+a table of transitions over bytes, in which a missing one starts a new phrase from the root.
+
+Texts are parsed whole. Stretches of `stretch` bytes are parsed side by side, each as if a phrase began there; then the phrase
+that really was open at a stretch's start is followed until both parses begin a phrase at one place, from where they agree. Where
+they never do within a stretch, that text is parsed again in one go. So the phrases are those of one parse from the beginning.
+
+Texts are lower-cased and runs of other than letters and marks become one space. Null texts and texts without a letter get
+`und` and score 0; so do all if nothing was learned. Ties go to the first language by name. Null languages aren't learned
+from; null ids are labelled rows like others, whose fold is null (held_out null). Repeated rows get equal results, columns named as results are replaced, an empty
+table gives an empty result. Scoring is map-only.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import fold, slices, table
 
-SAMPLE_BYTES, STRETCH = 60_000, 512
+SAMPLE_BYTES, STRETCH, TABLE_BYTES = 60_000, 512, 256 << 20
 
 
 def suffix_automaton(data: bytes) -> list[dict[int, int]]:
@@ -53,16 +58,16 @@ def suffix_automaton(data: bytes) -> list[dict[int, int]]:
     return trans
 
 
-@lru_cache(maxsize=64)
+@lru_cache(maxsize=4096)  # their bytes are bounded by TABLE_BYTES
 def parse_table(data: bytes, class_bytes: bytes, n_classes: int) -> np.ndarray:
     """table[state * n_classes + class of the byte]: twice the next state, plus 1 if a new phrase starts there. Kept between tasks of a worker."""
     classes = np.frombuffer(class_bytes, np.uint8)
     trans = suffix_automaton(data)
-    out = np.full((len(trans), n_classes), -1, np.int32)
+    out = np.full((len(trans) + 1, n_classes), -1, np.int32)  # the last: after a byte that the data lacks, a phrase of its own
     for s, row in enumerate(trans):
         for c, to in row.items():
             out[s, classes[c]] = to
-    root = np.where(out[0] < 0, 0, out[0])
+    root = np.where(out[0] < 0, len(trans), out[0])
     missing = out < 0
     out = np.where(missing, root[None, :], out) * 2 + missing
     return out.astype(np.int32).ravel()
@@ -80,10 +85,10 @@ def phrases(data: bytes, text: bytes) -> int:
 
 
 def _normal(text):
-    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+    return F.when(text.rlike(r"\p{L}"), F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")).otherwise(F.when(text.isNotNull(), F.lit("")))
 
 
-def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES) -> dict[str, bytes]:
+def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang", sample_bytes: int = SAMPLE_BYTES, table_bytes: int = TABLE_BYTES) -> dict[str, bytes]:
     """At most sample_bytes of normalised text per language. Each task keeps no more than that per language, so little moves."""
 
     def cut(batches: Iterator) -> Iterator:
@@ -91,33 +96,99 @@ def learn_languages(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
         best: dict[str, list] = {}
         for batch in batches:
-            for key, order, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                have = best.setdefault(key, [])
-                have.append((order, t))
-                if len(have) > 400:
-                    best[key] = _first(have, sample_bytes)
-        rows = [(k, o, t) for k, v in best.items() for o, t in _first(v, sample_bytes)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["lang", "o", "t"])
+            for part in slices(batch, 1024):
+                for key, order, t in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    have = best.setdefault(key, [])
+                    have.append((order, t if len(t) <= sample_bytes else t[:sample_bytes], len(t) > sample_bytes))
+                    if len(have) > 400:
+                        best[key] = _first(have, sample_bytes)
+        rows = [(k, *r) for k, v in best.items() for r in _first(v, sample_bytes)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.bool_())], names=["lang", "o", "t", "part"])
 
     usable = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    few = usable.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("o"), _normal(F.col(text)).cast("binary").alias("t")).mapInArrow(cut, "lang string, o long, t binary")
+    few = usable.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("o"), _normal(F.col(text)).cast("binary").alias("t")).where(F.length("t") > 0).mapInArrow(cut, "lang string, o long, t binary, part boolean")
 
     def merge(key, pdf):
-        rows = _first(list(zip(pdf["o"], pdf["t"], strict=True)), sample_bytes)
-        return pdf.head(1)[["lang"]].assign(t=b" ".join(t for _, t in rows)[:sample_bytes])
+        rows = _first(list(zip(pdf["o"], pdf["t"], pdf["part"], strict=True)), sample_bytes)
+        return pdf.head(1)[["lang"]].assign(t=b" ".join(r[1] for r in rows))
 
-    found = few.groupBy("lang").applyInPandas(merge, "lang string, t binary").collect()
-    return {r["lang"]: bytes(r["t"]) for r in sorted(found, key=lambda r: r["lang"]) if bytes(r["t"]).strip()}
+    found = {r["lang"]: bytes(r["t"]) for r in few.groupBy("lang").applyInPandas(merge, "lang string, t binary").collect()}  # at most sample_bytes a language
+    found = {k: t for k, t in sorted(found.items()) if t.strip()}
+    # A state takes four bytes for each class of bytes; an automaton has at most two states a byte.
+    classes = len(set(b"".join(found.values()))) + 1
+    fits = table_bytes // max(1, len(found) * classes * 8)
+    return {k: t[: max(64, fits)] for k, t in found.items()}
 
 
 def _first(rows: list, size: int) -> list:
+    """Whole rows (order, text, whether cut) in order as far as they fit; if there are cut ones only, the first."""
     out, n = [], 0
-    for o, t in sorted(rows):
-        out.append((o, t[: size]))
-        n += len(t)
-        if n >= size:
-            break
-    return out
+    for r in sorted(r for r in rows if not r[2]):
+        if n + len(r[1]) <= size:
+            out.append(r)
+            n += len(r[1]) + 1
+    return out or sorted(rows)[:1]
+
+
+def count_phrases(texts: list[bytes], tables: list[np.ndarray], classes: np.ndarray, n_classes: int, stretch: int = STRETCH) -> np.ndarray:
+    """(tables, texts) numbers of phrases of each whole text; 0 for empty ones."""
+    pieces = [(i, a, min(stretch, len(t) - a)) for i, t in enumerate(texts) for a in range(0, len(t), stretch)]
+    counts = np.zeros((len(tables), len(texts)), np.int64)
+    if not pieces:
+        return counts
+    row, offset, size = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+    begin = np.cumsum([0, *(len(t) for t in texts)])[:-1]
+    flat = classes[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int32)
+    order = np.argsort(-size, kind="stable")
+    start, lens = (begin[row] + offset)[order], size[order]
+    longer = np.searchsorted(-lens, -np.arange(int(lens[0])), "left").tolist()  # how many pieces are longer than k
+    place = np.empty(len(pieces), np.int64)
+    place[order] = np.arange(len(pieces))
+    last = np.append(row[1:] != row[:-1], True)
+    follows = np.flatnonzero(offset > 0)  # pieces that go on from the one before
+    for j, move in enumerate(tables):
+        state = np.zeros(len(pieces), np.int32)
+        breaks = np.zeros((int(lens[0]), len(pieces)), bool)  # where the parses of the pieces begin a phrase
+        for k in range(int(lens[0])):
+            m = longer[k]
+            step = move[state[:m] * n_classes + flat[start[:m] + k]]
+            state[:m] = step >> 1
+            breaks[k, :m] = step & 1 if k else 1
+        own = breaks.sum(0, dtype=np.int64)[place]
+        # Follow the open phrase into each piece until both parses begin one at a place: own breaks before it go, true ones come.
+        live = follows[np.argsort(-size[follows], kind="stable")]
+        now, true, gone = state[place[live - 1]], np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+        column, first, length = place[live], start[place[live]], size[live]
+        at, k = np.arange(len(live)), 0
+        lost: set[int] = set()
+        while len(at):
+            over = length[at] <= k
+            if over.any():
+                ended = live[at[over]]  # a text's last piece was followed to its end; another's successor began from a wrong state
+                lost.update(row[ended[~last[ended]]].tolist())
+                at = at[~over]
+                if not len(at):
+                    break
+            step = move[now[at] * n_classes + flat[first[at] + k]]
+            now[at] = step >> 1
+            begun, theirs = (step & 1).astype(bool), breaks[k, column[at]]
+            met = begun & theirs
+            true[at] += begun & ~met
+            gone[at] += theirs & ~met
+            at, k = at[~met], k + 1
+        own[live] += true - gone
+        counts[j] = np.bincount(row, own, len(texts)).astype(np.int64)
+        for i in lost:
+            counts[j, i] = _phrases_of(flat[begin[i] : begin[i] + len(texts[i])].tolist(), move, n_classes)
+    return counts
+
+
+def _phrases_of(codes: list[int], move: np.ndarray, n_classes: int) -> int:
+    state, n = 0, 0
+    for k, c in enumerate(codes):
+        step = int(move[state * n_classes + c])
+        state, n = step >> 1, n + (step & 1 if k else 1)
+    return n
 
 
 def predict_languages(docs: DataFrame, samples: dict[str, bytes], text: str = "text", stretch: int = STRETCH) -> DataFrame:
@@ -140,22 +211,7 @@ def predict_languages(docs: DataFrame, samples: dict[str, bytes], text: str = "t
                 texts = [t or b"" for t in part.column(len(names)).to_pylist()]
                 texts = [b"" if not t.strip() else t for t in texts]
                 sizes = np.array([len(t) for t in texts], np.int64)
-                pieces = [(i, t[a : a + stretch]) for i, t in enumerate(texts) for a in range(0, len(t), stretch)]
-                pieces.sort(key=lambda p: -len(p[1]))
-                row, lens = np.array([p[0] for p in pieces], np.int64), np.array([len(p[1]) for p in pieces], np.int64)
-                counts = np.zeros((len(langs), len(texts)))
-                if len(pieces):
-                    flat = classes[np.frombuffer(b"".join(p[1] for p in pieces), np.uint8)].astype(np.int32)
-                    starts = np.concatenate(([0], np.cumsum(lens)[:-1]))
-                    alive = [int(np.searchsorted(-lens, -k, "left")) for k in range(stretch)]  # pieces longer than k
-                    for j, lang in enumerate(langs):
-                        move, state, n = tables[lang], np.zeros(len(pieces), np.int32), np.ones(len(pieces), np.int32)
-                        for k in range(int(lens[0])):
-                            m = alive[k]
-                            step = move[state[:m] * n_classes + flat[starts[:m] + k]]
-                            n[:m] += step & 1
-                            state[:m] = step >> 1
-                        counts[j] = np.bincount(row, n, len(texts))
+                counts = count_phrases(texts, [tables[k] for k in langs], classes, n_classes, stretch)
                 best = ["und"] * len(texts)
                 score = np.zeros(len(texts))
                 if langs:

@@ -278,24 +278,42 @@ def test_quality_classifier(spark, docs, odd, none):
     assert quality_classifier.score_quality(none, w).count() == 0 and (quality_classifier.fit_quality(labelled.limit(0)) == 0).all()
 
 
-def test_language_id(spark, docs, odd, none):
+def test_phrases_of_whole_texts():
+    """Stretches of eight bytes, put together, give the plain greedy parse, for bytes that the data lacks too."""
     rnd = random.Random(2)
-    for _ in range(30):
-        data, text = (bytes(rnd.choices(b"ab ", k=n)) for n in (60, 80))
+    for trial in range(40):
+        data = bytes(rnd.choices(b"abc ", k=rnd.randint(5, 300)))
         classes = np.zeros(256, np.uint8)
-        classes[list(b"ab ")] = [1, 2, 3]
-        table, state, n = language_id.parse_table(data, classes.tobytes(), 4), 0, 1
-        for c in text:
-            step = table[state * 4 + classes[c]]
-            state, n = step >> 1, n + (step & 1)
-        assert n == language_id.phrases(data, text)
+        classes[list(b"abc ")] = [1, 2, 3, 4]
+        table = language_id.parse_table(data, classes.tobytes(), 5)
+        texts = [bytes(rnd.choices(b"abc d", weights=[5, 5, 1, 2, trial % 2], k=rnd.choice([0, 1, 7, 8, 9, 30, 200, 500]))) for _ in range(12)]
+        assert language_id.count_phrases(texts, [table], classes, 5, 8)[0].tolist() == [language_id.phrases(data, t) for t in texts]
+
+
+def test_language_id(spark, docs, odd, none):
     samples = language_id.learn_languages(docs)
-    out = {r.doc_id: r for r in language_id.predict_languages(docs, samples).collect()}
-    right = [out[r.doc_id].lang_pred == r.lang for r in docs.collect()]
-    assert sum(right) >= 0.97 * len(right)
-    got = [(r.doc_id, r.lang_pred) for r in language_id.predict_languages(odd, samples).collect()]
+    assert all(len(t) <= language_id.SAMPLE_BYTES for t in samples.values())
+    for r in language_id.predict_languages(docs.limit(40), samples).collect():  # the plain parse of each language
+        text = docs.where(docs.doc_id == r.doc_id).select(language_id._normal(docs.text)).first()[0].encode()
+        n = {k: language_id.phrases(v, text) for k, v in samples.items()} if len(text) < 3000 else None
+        assert n is None or (r.lang_pred == min(n, key=lambda k: (n[k], k)) and math.isclose(r.score, sorted(n.values())[1] / sum(sorted(n.values())[:2])))
+    got = [(r.doc_id, r.lang_pred) for r in language_id.predict_languages(odd.withColumnRenamed("source", "score"), samples).collect()]
     assert [x for i, x in got if i in (1, 2, 3)] == ["und"] * 3 and len(got) == len(ODD)
     assert language_id.predict_languages(none, samples).count() == 0 and {r.lang_pred for r in language_id.predict_languages(docs, language_id.learn_languages(none.withColumnRenamed("source", "lang"))).collect()} == {"und"}
+    many = {f"l{k:03}": t for k in range(100) for t in [f"word{k} " * 3000]}
+    rows = spark.createDataFrame([(k, t, la) for k, (la, t) in enumerate(many.items())], "doc_id long, text string, lang string")
+    small = language_id.learn_languages(rows, table_bytes=1 << 20)
+    assert len(small) == 100 and sum(len(t) for t in small.values()) * 8 * 6 <= 1 << 20
+    marks = spark.createDataFrame([(1, "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e", None), (2, "123 \u0301", None)], "doc_id long, text string, lang string")
+    assert [r[0] for r in marks.select(language_id._normal(marks.text)).collect()] == [marks.first().text, ""]
+
+
+def test_language_id_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [r for r in language_id.op7_language_id(spark, sf).collect() if r.held_out]
+    assert len(held) > 150 and all(zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in held)
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.98 * len(held)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies.</div>
