@@ -1,11 +1,13 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with follow-the-regularised-leader updates.
 
-Training takes at most max_rows labelled rows (those first by a hash of doc_id), in one bounded task; scoring is a sparse dot
-product per document with a weight vector of fixed size (2**bits floats), map-only.
+Training takes at most max_rows labelled rows (those first by a hash of doc_id), and of these the first whose features
+together are at most max_features, in one task bounded by both. Features are made before the rows are sorted, so no text goes there. Scoring is a sparse
+dot product per document with a weight vector of fixed size (2**bits floats), map-only.
 
 Tokens: runs of letters and digits, lower-cased in A-Z, or of one kind of mark; a token equal to the one before it becomes a
 repeat mark. Features: hashed unigrams and bigrams, by square root of their count, in unit length, and a bias.
-Null and empty texts have the bias only, so they get a score. Repeated rows are scored alike; labels that contradict each
+Null and empty texts have the bias only, so they get a score. Texts of any length count whole. Rows with a null id aren't
+learned from; they are scored, held_out false. Repeated rows are scored alike; labels that contradict each
 other all count; columns named as results are replaced; an empty table gives an empty result. Without labelled rows, scores
 are 0.5.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import buffer_of, fold, hash_runs, mix, slices, table
 
-BITS, MAX_ROWS = 18, 20_000
+BITS, MAX_ROWS, MAX_FEATURES = 18, 20_000, 30_000_000
 _KIND = np.zeros(256, np.uint8)  # 0 space, 1 letter or digit, from 2 on one kind a mark
 _KIND[33:128] = np.arange(2, 97)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -73,26 +75,37 @@ def train_ftrl(examples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray
     return weigh(z, sq).astype(np.float32)
 
 
-def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS) -> np.ndarray:
-    """Weights from at most max_rows rows (doc_id, text, label), which one task holds; null labels don't count."""
-    order = F.xxhash64("doc_id")
-    picked = labelled.where(F.col(label).isNotNull()).select(F.col("doc_id"), F.col(text).cast("binary").alias("t"), F.col(label).cast("int").alias("y"), order.alias("o"))
-    picked = picked.orderBy("o", "doc_id", "y", F.xxhash64("t")).limit(max_rows)
+def fit_quality(labelled: DataFrame, text: str = "text", label: str = "quality", bits: int = BITS, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> np.ndarray:
+    """Weights from at most max_rows rows (doc_id, text, label) and max_features features, which one task holds; null labels don't count."""
+
+    def describe(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for part in slices(batch):
+                made = examples_of(part.column(3).to_pylist(), bits)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([m[k].tobytes() for m in made], pa.binary()) for k in (0, 1))], names=["o", "y", "tie", "cols", "vals"])
 
     def train(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         rows: list = []
+        room = max_features
         for batch in batches:
-            for part in slices(batch):  # only features are kept, so memory follows a slice, not all texts
-                o, t, y = (part.column(i).to_pylist() for i in range(3))
-                rows += zip(o, examples_of(t, bits), y, strict=True)
+            for o, y, tie, c, v in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                room -= len(c) // 4
+                if room < 0 and rows:
+                    break
+                rows.append((np.frombuffer(c, np.int32), np.frombuffer(v, np.float32), y))
+            if room < 0:
+                break
         if rows:
-            rows.sort(key=lambda r: r[0])
-            w = train_ftrl([r[1] for r in rows], np.array([r[2] for r in rows], float), bits)
+            w = train_ftrl([r[:2] for r in rows], np.array([r[2] for r in rows], float), bits)
             yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["w"])
 
-    found = picked.select("o", "t", "y").coalesce(1).mapInArrow(train, "w binary").collect()
+    picked = labelled.where(F.col(label).isNotNull()).select(F.xxhash64("doc_id").alias("o"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id", text).alias("tie"), F.col(text).cast("binary").alias("t"))
+    made = picked.mapInArrow(describe, "o long, y int, tie long, cols binary, vals binary")
+    found = made.orderBy("o", "tie", "y").limit(max_rows).coalesce(1).mapInArrow(train, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float32) if found else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -123,7 +136,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The sample is chosen by id before texts are joined, so only its texts move.
     ids = labels.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(MAX_ROWS)
     weights = fit_quality(docs.join(F.broadcast(ids), "doc_id"))
-    return score_quality(docs, weights).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+    return score_quality(docs, weights).select("doc_id", F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {"op1_quality_classifier": op1_quality_classifier}
