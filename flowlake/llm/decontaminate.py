@@ -20,27 +20,15 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import let, packed, small, stored, table, words
+from .common import let, packed, shingle_hashes, small, stored, table, words
 
 WIDTH, RADIUS, SIMILARITY = 5, 11, 0.8
 _BLOCKS, _BITS = 4, 16
 
 
-def _shingles(w: Column, width: int) -> Column:
-    """Hashes of the shingles in order. Words are hashed once; runs of two and four hashes are combined from shorter ones."""
-    out, done, run, have = None, 0, F.transform(w, lambda x: F.xxhash64(x)), 1
-    pair = lambda a, b: F.xxhash64(a, b)
-    while have <= width:  # the bits of width, each run from where the last ended
-        if width & have:
-            out = run if out is None else F.zip_with(out, F.slice(run, done + 1, F.size(w)), pair)
-            done += have
-        run, have = F.zip_with(run, F.slice(run, have + 1, F.size(w)), pair), have * 2
-    return F.when(F.size(w) >= width, F.slice(out, 1, F.size(w) - width + 1)).otherwise(F.array().cast("array<bigint>"))
-
-
 def _own(w: Column) -> Column:
     """Shingles of a window or item, numbered by occurrence, so that common elements count as often as both have them."""
-    plain = F.coalesce(*[F.when(F.size(w) == k, _shingles(w, k)) for k in range(1, WIDTH)], _shingles(w, WIDTH))
+    plain = F.coalesce(*[F.when(F.size(w) == k, shingle_hashes(w, k)) for k in range(1, WIDTH)], shingle_hashes(w, WIDTH))
     numbered = lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x)))
     return let(F.sort_array(plain), numbered)
 
@@ -84,8 +72,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, text: str, item_text: str, r
     words_of = docs.select("doc_id", F.xxhash64(text).alias("key"), words(F.lower(F.col(text))).alias("w"))
     hits = None
     for k in widths:  # items of five words and more are one pass; shorter ones, if any, have one for each length
-        anchors = items.where(F.col("width") == k).select("n", F.posexplode(_shingles(F.col("w"), k)).alias("offset", "h")).distinct()
-        spots = words_of.where(F.size("w") >= k).select("doc_id", "key", F.size("w").alias("words"), F.posexplode(_shingles(F.col("w"), k)).alias("at", "h"))
+        anchors = items.where(F.col("width") == k).select("n", F.posexplode(shingle_hashes(F.col("w"), k)).alias("offset", "h")).distinct()
+        spots = words_of.where(F.size("w") >= k).select("doc_id", "key", F.size("w").alias("words"), F.posexplode(shingle_hashes(F.col("w"), k)).alias("at", "h"))
         first = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("words") - F.col("n")))
         found = spots.join(small(anchors), "h").select("doc_id", "key", "n", first.alias("start")).distinct()
         hits = found if hits is None else hits.union(found)

@@ -12,8 +12,8 @@ they never do within a stretch, that text is parsed again in one go. So the phra
 
 Texts are lower-cased and runs of other than letters and marks become one space. Null texts and texts without a letter get
 `und` and score 0; so do all if nothing was learned. Ties go to the first language by name. Null languages aren't learned
-from; null ids are labelled rows like others, whose fold is null (held_out null). Repeated rows get equal results, columns named as results are replaced, an empty
-table gives an empty result. Scoring is map-only.
+from, nor, in the query, are rows with a null id, whose held_out is false. Repeated rows get equal results, columns named as
+results are replaced, an empty table gives an empty result. Scoring is map-only.
 """
 
 from __future__ import annotations
@@ -229,7 +229,7 @@ def predict_languages(docs: DataFrame, samples: dict[str, bytes], text: str = "t
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     samples = learn_languages(docs.where(fold(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang"))
-    return predict_languages(docs.select("doc_id", "text"), samples).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return predict_languages(docs.select("doc_id", "text"), samples).select("doc_id", F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op7_language_id": op7_language_id}

@@ -1,8 +1,10 @@
 """Operators against brute force, and the defined results of odd inputs: nulls, blanks, long texts, repeats, empty tables, clashing names."""
 
+import base64
 import collections
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +55,8 @@ def test_quality_rules(spark, docs, odd, none):
             assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == rules(r.text), r.doc_id
             assert not (r.kept and r.base_failed)
     assert quality_rules.clean_lines(none).count() == 0
+    words = spark.createDataFrame([(1, "The catalog in the hall is old.\nThey design in pairs every day of the week.\nLog in\nImpressum | Anmelden", "")], SCHEMA)
+    assert quality_rules.clean_lines(words).first().clean_text == "The catalog in the hall is old.\nThey design in pairs every day of the week."
     clean = "A plain line of words, and more of them follow here.\nAnother plain line of words ends so."
     nav = "Home | News | Sport | Shop | Help | Login\n" * 3
     got = {r.doc_id: r for r in quality_rules.clean_lines(spark.createDataFrame([(1, clean + "\n" + nav, ""), (2, nav, ""), (3, "WOW!! BUY!! NOW!! " * 9 + "a b c d e f g h", ""), (4, clean, "")], SCHEMA)).collect()}
@@ -69,6 +73,11 @@ def test_secret_scan(spark, docs, odd, none):
         base = [s for s in spans if s[2] in ("assign", "access", "hex")]
         assert [sum(s[2] == k for s in base) for k in ("assign", "access", "hex")] == list(secret_scan.brute_force(t)[:3]), t
     assert [s[2] for s in secret_scan.spans_of(f"x {good} {bad}", a)] == ["github"]
+    head = base64.urlsafe_b64encode(b'{"alg":"HS256"}').rstrip(b"=").decode()
+    jwt = f"{head}.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcdefghijklmnop"
+    assert [s[2] for s in secret_scan.spans_of(f"eyJeyJ {jwt} eyJ", a)] == ["jwt"]
+    t = time.process_time()
+    assert secret_scan.spans_of("eyJ" * 300_000, a) == [] and secret_scan.spans_of(("eyJ" * 20 + ".") * 20_000, a) == [] and time.process_time() - t < 5
     assert secret_scan.redact("a token=abcdef b", secret_scan.spans_of("a token=abcdef b", a)) == "a [assign] b"
     out = secret_scan.scan_secrets(odd.withColumnRenamed("source", "secret_spans"), replace=True).collect()
     assert len(out) == len(ODD) and out[0].text is None and out[0].secret_spans == []
@@ -109,6 +118,22 @@ def test_chat_format(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_parts_make_one_dialogue(spark):
+    rnd = random.Random(5)
+    rows = [(1, k, rnd.choice(("ann", "bob", "c|>d", "system")), f"turn {k} <|end|> é" * rnd.randint(0, 3)) for k in range(40)] + [(None, None, "ann", "x"), (None, 9, "bob", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r.conv_id, r.participant): r for r in chat_format.rotate(df).collect()}
+    parts = collections.defaultdict(list)
+    for r in chat_format.rotate(df, part_turns=7).orderBy("part").collect():
+        parts[r.conv_id, r.participant].append(r)
+    assert parts.keys() == whole.keys() and (1, "c|>d") in whole
+    for k, own in parts.items():
+        text = whole[k].text
+        assert "".join(r.text for r in own) == text and {r.n_parts for r in own} == {len(own)}
+        assert [(r.offset + m.start, r.offset + m.end) for r in own for m in r.masks] == [(m.start, m.end) for m in whole[k].masks]
+        assert text.count("<|") == text.count("|>") == 2 * sum(r.n_turns for r in own)
+
+
 def edits(words, n, rnd):
     w = list(words)
     for i in rnd.sample(range(len(w)), n):
@@ -270,12 +295,57 @@ def test_lm_score_detects_other_texts():
 def test_quality_classifier(spark, docs, odd, none):
     labelled = docs.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     w = quality_classifier.fit_quality(labelled)
-    out = quality_classifier.score_quality(docs, w).collect()
-    y = {r.doc_id: r.quality for r in labelled.collect()}
-    right = [(r.predicted == y[r.doc_id]) for r in out if r.doc_id in y]
-    assert sum(right) >= 0.95 * len(right) and all(0 <= r.score <= 1 for r in out)
     assert all(0 <= r.score <= 1 for r in quality_classifier.score_quality(odd.withColumnRenamed("source", "score"), w).collect())
     assert quality_classifier.score_quality(none, w).count() == 0 and (quality_classifier.fit_quality(labelled.limit(0)) == 0).all()
+    assert (quality_classifier.fit_quality(labelled.repartition(7)) == w).all() and len(quality_classifier.fit_quality(labelled.unionByName(labelled), max_features=50)) == len(w)
+
+
+def test_ftrl_against_brute_force():
+    """Features by regular expressions, updates and scores coordinate by coordinate."""
+    import re
+
+    texts = ["Good words, good words here.", "spam!!! $$$ buy buy buy now", "über größe x9", "", "words here again and again, fine", "$$$ !!! win"]
+    y, bits = [1, 0, 1, 1, 1, 0], 12
+
+    def naive(t):
+        toks = re.findall(rb"[a-z0-9\x80-\xff]+|([!-/:-@\[-`{-~])\1*", t.lower().encode()) and [m[0] for m in re.finditer(rb"[a-z0-9\x80-\xff]+|([!-/:-@\[-`{-~])\1*", t.lower().encode())]
+        ids, last = [], None
+        for tok in toks or []:
+            data = np.frombuffer(tok, np.uint8)
+            h = common.hash_runs(data, np.array([0]), np.array([len(data)]))[0]
+            ids.append(np.uint64(12345) if last is not None and h == last else h)
+            last = h
+        with np.errstate(over="ignore"):
+            grams = ids + [common.mix(np.array([b * np.uint64(3) + a]))[0] for a, b in zip(ids, ids[1:])]
+        count = collections.Counter(int(g >> np.uint64(64 - bits)) for g in grams)
+        norm = math.sqrt(sum(count.values())) or 1.0
+        return {**{k: math.sqrt(n) / norm for k, n in count.items()}, 1 << bits: 1.0}
+
+    rows = [naive(t) for t in texts]
+    for got, want in zip(quality_classifier.examples_of([t.encode() for t in texts], bits), rows, strict=True):
+        assert np.allclose([want[c] for c in got[0].tolist()], got[1], rtol=1e-6) and len(want) == len(got[0])
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    alpha, beta, l1, l2 = 2.0, 1.0, 1e-4, 1e-3
+    weight = lambda c: 0.0 if abs(z[c]) <= l1 else -(z[c] - math.copysign(l1, z[c])) / ((beta + math.sqrt(n[c])) / alpha + l2)
+    for _ in range(3):
+        for row, label in zip(rows, y, strict=True):
+            w = {c: weight(c) for c in row}
+            p = 1 / (1 + math.exp(-sum(w[c] * v for c, v in row.items())))
+            for c, v in row.items():
+                g = (p - label) * v
+                z[c] += g - (math.sqrt(n[c] + g * g) - math.sqrt(n[c])) / alpha * w[c]
+                n[c] += g * g
+    got = quality_classifier.train_ftrl(quality_classifier.examples_of([t.encode() for t in texts], bits), np.array(y, float), bits)
+    assert all(math.isclose(got[c], weight(c), rel_tol=1e-3, abs_tol=1e-4) for row in rows for c in row)
+
+
+def test_quality_classifier_held_out(spark):
+    sf = SF.replace("0.001", "0.01")
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    out = quality_classifier.op1_quality_classifier(spark, sf).collect()
+    held = [r for r in out if r.held_out and label.get(r.doc_id) is not None]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out) and len(held) > 40
+    assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
 def test_phrases_of_whole_texts():
