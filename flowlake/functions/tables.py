@@ -59,9 +59,41 @@ def element(enterprise: int, number: int, registry: dict | None = None) -> tuple
 
 
 # Fixed values of displays.
-PROTOCOL_NAMES = {1: "ICMP", 2: "IGMP", 6: "TCP", 17: "UDP", 41: "IPv6", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6", 89: "OSPF", 132: "SCTP"}
+PROTOCOL_NAMES = {
+    0: "HOPOPT", 1: "ICMP", 2: "IGMP", 6: "TCP", 8: "EGP", 9: "IGP", 17: "UDP", 27: "RDP", 41: "IPv6", 43: "IPv6-Route", 44: "IPv6-Frag", 46: "RSVP", 47: "GRE", 50: "ESP", 51: "AH", 58: "ICMPv6", 59: "IPv6-NoNxt", 60: "IPv6-Opts",
+    88: "EIGRP", 89: "OSPF", 103: "PIM", 112: "VRRP", 132: "SCTP", 137: "MPLS-in-IP",
+}
+PORT_NAMES = {
+    7: "Echo", 20: "FTP-Data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 43: "WHOIS", 53: "DNS", 67: "DHCP-S", 68: "DHCP-C", 69: "TFTP", 80: "HTTP", 88: "Kerberos", 110: "POP3", 119: "NNTP", 123: "NTP", 135: "MS-RPC", 137: "NetBIOS-NS",
+    138: "NetBIOS-DGM", 139: "NetBIOS-SSN", 143: "IMAP", 161: "SNMP", 162: "SNMP-Trap", 179: "BGP", 389: "LDAP", 443: "HTTPS", 445: "SMB", 465: "SMTPS", 500: "IKE", 514: "Syslog", 520: "RIP", 546: "DHCPv6-C", 547: "DHCPv6-S", 587: "Submission",
+    636: "LDAPS", 853: "DNS-TLS", 873: "Rsync", 993: "IMAPS", 995: "POP3S", 1080: "SOCKS", 1194: "OpenVPN", 1433: "MSSQL", 1521: "Oracle", 1723: "PPTP", 2049: "NFS", 2082: "cPanel", 2483: "Oracle-TLS", 3306: "MySQL", 3389: "RDP", 3478: "STUN",
+    4500: "IPSec-NAT", 4739: "IPFIX", 5060: "SIP", 5061: "SIPS", 5432: "PostgreSQL", 5900: "VNC", 5938: "TeamViewer", 6379: "Redis", 6443: "K8s-API", 8080: "HTTP-Alt", 8443: "HTTPS-Alt", 8888: "HTTP-Alt2", 9090: "Prometheus",
+    9200: "Elasticsearch", 9300: "ES-Transport", 27017: "MongoDB",
+}
 TCP_FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
-END_REASONS = {1: "idle timeout", 2: "active timeout", 3: "end of flow", 4: "forced end", 5: "lack of resources"}
-FORWARDING = {0: "unknown", 1: "forwarded", 2: "dropped", 3: "consumed"}
-DIRECTIONS = {0: "ingress", 1: "egress"}
-FIREWALL_EVENTS = {0: "ignore", 1: "created", 2: "deleted", 3: "denied", 4: "alert", 5: "update"}
+DSCP_NAMES = {
+    0: "BE", 8: "CS1", 10: "AF11", 12: "AF12", 14: "AF13", 16: "CS2", 18: "AF21", 20: "AF22", 22: "AF23", 24: "CS3", 26: "AF31", 28: "AF32", 30: "AF33", 32: "CS4", 34: "AF41", 36: "AF42", 38: "AF43", 40: "CS5", 46: "EF", 48: "CS6", 56: "CS7",
+}
+ICMP_TYPES = {
+    0: "Echo Reply", 3: "Dest Unreachable", 4: "Source Quench", 5: "Redirect", 8: "Echo Request", 9: "Router Advertisement", 10: "Router Solicitation", 11: "Time Exceeded", 12: "Parameter Problem", 13: "Timestamp", 14: "Timestamp Reply",
+}
+ICMP_UNREACHABLE = {
+    0: "Net Unreachable", 1: "Host Unreachable", 2: "Protocol Unreachable", 3: "Port Unreachable", 4: "Frag Needed", 5: "Source Route Failed", 6: "Dst Net Unknown", 7: "Dst Host Unknown", 9: "Net Admin Prohib", 10: "Host Admin Prohib",
+    11: "Net TOS Unreach", 12: "Host TOS Unreach", 13: "Admin Prohib",
+}
+#: Enumerations by the element that holds them.
+ENUMERATIONS = {
+    "flowEndReason": {0: "Unknown", 1: "Idle timeout", 2: "Active timeout", 3: "End of flow", 4: "Forced end", 5: "Lack of resources"},
+    "natEvent": {0: "Reserved", 1: "NAT Create", 2: "NAT Delete", 3: "NAT Pool Exhausted", 4: "NAT Quota Exceeded", 5: "NAT Binding Refresh", 6: "NAT Port Alloc", 7: "NAT Port Dealloc", 8: "NAT Thresh Reached", 9: "NAT Thresh Cleared"},
+    "natType": {0: "Unknown", 1: "NAT44", 2: "NAT64", 3: "NAT46", 4: "IPv4 no-NAT", 5: "NAT66", 6: "IPv6 no-NAT"},
+    "flowDirection": {0: "Ingress", 1: "Egress"},
+    "ipVersion": {4: "IPv4", 6: "IPv6"},
+    "firewallEvent": {0: "Ignored", 1: "Flow Created", 2: "Flow Deleted", 3: "Flow Denied", 4: "Flow Alert", 5: "Flow Updated"},
+    "samplingAlgorithm": {0: "Unassigned", 1: "Systematic count", 2: "Systematic time", 3: "Random n-out-of-N", 4: "Uniform probabilistic", 5: "Property match", 6: "Hash-based", 7: "Hash-based + deterministic"},
+    "mplsTopLabelType": {0: "Unknown", 1: "TE-MIDPT", 2: "Pseudowire", 3: "VPN", 4: "BGP", 5: "LDP"},
+    "observationPointType": {0: "Invalid", 1: "Physical port", 2: "Port channel", 3: "VLAN"},
+    "natAddressRealm": {0: "Reserved", 1: "Internal", 2: "External"},
+    "valueDistributionMethod": {0: "Unspecified", 1: "Start interval", 2: "End interval", 3: "Mid interval", 4: "Simple uniform"},
+    "anonymizationTechnique": {0: "Undefined", 1: "None", 2: "Precision Degradation/Truncation", 3: "Binning", 4: "Enumeration", 5: "Permutation", 6: "Structured Permutation", 7: "Reverse Truncation", 8: "Noise"},
+}
+FORWARDING = {0: "Unknown", 1: "Forwarded", 2: "Dropped", 3: "Consumed"}

@@ -47,12 +47,21 @@ class Page:
     rows: DataFrame
     cursor: str | None
     has_more: bool
+    total: int | None = None
 
 
-def page(query, df: DataFrame, size: int = 100, cursor=None, layout: Layout = Layout(), **how) -> Page:
-    """One page of rows, newest first, of at most 10000, and the cursor of the next."""
-    size = max(1, min(size, 10_000))
+def total(query, df: DataFrame, layout: Layout = Layout(), **how) -> DataFrame:
+    """One row, total: how many rows a query has, whatever the page."""
+    return plan(query, df, layout, **how).agg(F.count(F.lit(1)).alias("total"))
+
+
+def page(query, df: DataFrame, size: int = 100, cursor=None, layout: Layout = Layout(), largest: int = 10_000, count: bool = False, columns: tuple[str, ...] = (), **how) -> Page:
+    """One page of rows, newest first, of at most largest, and the cursor of the next. count: with the total. columns pins what later pages show to those of the first; one that a row lacks is null."""
+    size = max(1, min(size, largest))
     found = plan(query, df, layout, cursor=cursor, limit=size + 1, **how)
     rows = found.limit(size)
     ids = [r[0] for r in found.select(layout.row).collect()] if layout.row in found.columns else []
-    return Page(rows, ids[size - 1] if len(ids) > size else None, len(ids) > size)
+    if columns:
+        rows = rows.select(*[F.col(f"`{c}`") if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    n = total(query, df, layout, **how).first()["total"] if count else None
+    return Page(rows, ids[size - 1] if len(ids) > size else None, len(ids) > size, n)

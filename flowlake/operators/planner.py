@@ -11,8 +11,6 @@ from ..plans.ast import Agg, Group, Item, Limit, Query, Select, Sort, Span, Top
 from ..plans.fql import parse
 from .filters import Fields, compile_filter
 
-SORT_CAP = 10_000
-
 
 @dataclass(frozen=True)
 class Layout:
@@ -48,12 +46,15 @@ def _years(lo: int, hi: int) -> tuple[int, int]:
     return year(lo) - 1, year(hi) + 1
 
 
-def aggregate(agg: Agg, fields: Fields, layout: Layout, seconds: float) -> Column:
+def aggregate(agg: Agg, fields: Fields, layout: Layout, seconds: float, approximate: bool = False) -> Column:
+    """approximate: uniq and percentiles by sketches, whose memory does not grow with the values."""
     if agg.func == "count":
         return F.count(F.lit(1))
     name = fields.name(agg.field or "")
     c = F.col(name) if name in fields.types else F.lit(None).cast("long")
     order = F.struct(layout.time, layout.row)
+    if approximate and agg.func in ("uniq", "p50", "p95", "p99"):
+        return F.approx_count_distinct(c, 0.01) if agg.func == "uniq" else F.percentile_approx(c, int(agg.func[1:]) / 100, 10_000)
     return {
         "sum": lambda: F.sum(c), "avg": lambda: F.avg(c), "min": lambda: F.min(c), "max": lambda: F.max(c), "uniq": lambda: F.count_distinct(c),
         "p50": lambda: F.percentile(c, 0.5), "p95": lambda: F.percentile(c, 0.95), "p99": lambda: F.percentile(c, 0.99), "stddev": lambda: F.stddev_samp(c),
@@ -95,8 +96,8 @@ def _select(df: DataFrame, select: Select | None, fields: Fields) -> DataFrame:
     return df.select(*[_item(i, fields) for i in select.items])
 
 
-def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: int = 0, cursor: str | None = None, limit: int | None = None, offset: int = 0, bounds: tuple[int, int] | None = None) -> DataFrame:
-    """The result of a query. bounds pins the time range, cursor continues below a row id, limit and offset page rows."""
+def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: int = 0, cursor: str | None = None, limit: int | None = None, offset: int = 0, bounds: tuple[int, int] | None = None, sort_cap: int | None = None, approximate: bool = False) -> DataFrame:
+    """The result of a query. bounds pins the time range, cursor continues below a row id, limit and offset page rows; sort_cap limits a sort without a limit; approximate takes sketches for uniq and percentiles."""
     query = parse(query) if isinstance(query, str) else query
     fields = Fields(df)
     span = Span("fixed", lo=bounds[0], hi=bounds[1]) if bounds else query.time
@@ -111,13 +112,15 @@ def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: i
     order = next((s for s in reversed(stages) if isinstance(s, (Top, Sort))), None)
     cut = next((s.n for s in reversed(stages) if isinstance(s, Limit)), None)
     if group:
-        return _grouped(rows, group, order, cut, fields, layout, span, now_ms)
+        return _grouped(rows, group, order, cut, fields, layout, span, now_ms, approximate)
     newest = [F.col(layout.time).desc(), F.col(layout.row).desc()]
     if isinstance(order, (Top, Sort)):
         down = order.descending if isinstance(order, Sort) else not order.bottom
         by = [F.col(fields.name(order.agg.field)).desc() if down else F.col(fields.name(order.agg.field)).asc_nulls_last()] if order.agg.field and fields.has(order.agg.field) else []
-        n = order.n if isinstance(order, Top) else cut or SORT_CAP
-        rows = rows.orderBy(*by, *newest).limit(min(n, cut) if cut is not None else n)
+        n = order.n if isinstance(order, Top) else sort_cap if cut is None else cut
+        rows = rows.orderBy(*by, *newest)
+        if n is not None:
+            rows = rows.limit(min(n, cut) if cut is not None else n)
     else:
         rows = rows.orderBy(*newest)
         if cut is not None:
@@ -129,7 +132,7 @@ def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: i
     return _select(rows, next((s for s in stages if isinstance(s, Select)), None), fields)
 
 
-def _grouped(rows: DataFrame, group: Group, order, cut, fields: Fields, layout: Layout, span: Span, now_ms: int) -> DataFrame:
+def _grouped(rows: DataFrame, group: Group, order, cut, fields: Fields, layout: Layout, span: Span, now_ms: int, approximate: bool) -> DataFrame:
     step = next((k.seconds for k in group.keys if k.seconds), None)
     seconds = step or max(1.0, sum(hi - lo for lo, hi in span.bounds(now_ms)) / 1000)
     keys = _keys(group, fields, layout)
@@ -138,7 +141,7 @@ def _grouped(rows: DataFrame, group: Group, order, cut, fields: Fields, layout:
     if not aggs and not extra:
         out = rows.select(*keys).distinct()
     else:
-        out = rows.groupBy(*keys).agg(*[aggregate(a, fields, layout, seconds).alias(a.name) for a in (*aggs, *extra)])
+        out = rows.groupBy(*keys).agg(*[aggregate(a, fields, layout, seconds, approximate).alias(a.name) for a in (*aggs, *extra)])
     names = out.columns[: len(keys)]
     by = order.agg.name if order else aggs[0].name if aggs else None
     down = not order or (order.descending if isinstance(order, Sort) else not order.bottom)

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .functions import exprs
+from .functions import exprs, tables
 from .operators import export, histogram as hist
 from .operators.planner import plan
 from .plans.fql import parse
 from .plans.structured import from_json
 from .sources import samples
-from .sources.flows import FLOWS_DUCKDB, flows
+from .sources.flows import FLOWS_DUCKDB, STORED_LAYOUT, flows, read_flows
+from .streaming import sink
 
 _LO, _HI = 1704067200000, 1706745600000
 _ALL = "2024-01-01..2024-02-01"
@@ -134,7 +138,8 @@ _add("top_n", f"{_ALL} | top 10 by sum(bytes) | select sysRowId, bytes", f"SELEC
 _add("bottom_n", f"{_ALL} | bottom 10 by sum(bytes) | select sysRowId, bytes", f"SELECT sysRowId, octetDeltaCount {_W} ORDER BY octetDeltaCount, {_NEW} LIMIT 10")
 _add("top_n_count", f"{_ALL} | top 10 by count() | select sysRowId", f"SELECT sysRowId {_W} ORDER BY {_NEW} LIMIT 10")
 _add("sort_asc", f"{_ALL} | sort sum(packets) | limit 50 | select sysRowId, packets", f"SELECT sysRowId, packetDeltaCount {_W} ORDER BY packetDeltaCount, {_NEW} LIMIT 50")
-_add("sort_desc", f"{_ALL} | sort sum(packets) desc | select sysRowId, packets", f"SELECT sysRowId, packetDeltaCount {_W} ORDER BY packetDeltaCount DESC, {_NEW} LIMIT 10000")
+_add("sort_desc", f"{_ALL} | sort sum(packets) desc | select sysRowId, packets", f"SELECT sysRowId, packetDeltaCount {_W} ORDER BY packetDeltaCount DESC, {_NEW} LIMIT 10000", sort_cap=10_000)
+_add("sort_all", f"{_ALL} | sort sum(packets) desc | select sysRowId, packets", f"SELECT sysRowId, packetDeltaCount {_W}")
 _add("limit_default_order", f"{_ALL} | limit 25 | {_IDS}", f"SELECT sysRowId, sysExportTime {_W} ORDER BY {_NEW} LIMIT 25")
 _add("page_offset", f"{_ALL} | {_IDS}", f"SELECT sysRowId, sysExportTime {_W} ORDER BY {_NEW} LIMIT 100 OFFSET 200", limit=100, offset=200)
 _add("page_cursor", f"{_ALL} | {_IDS}", f"SELECT sysRowId, sysExportTime {_W} AND sysRowId < 5000 ORDER BY {_NEW} LIMIT 100", limit=100, cursor=5000)
@@ -170,13 +175,114 @@ _derived("derived_avg_pkt", lambda: exprs.average_packet(_c("octetDeltaCount"),
 _derived("derived_duration", lambda: exprs.flow_duration(_c("sysExportTime"), _c("sysExportTime") + _c("flowDurationMilliseconds") - 100), "greatest(flowDurationMilliseconds - 100, 0)")
 _derived("fmt_ipv4", lambda: exprs.dotted(_c("sourceIPv4Address")), _IP.format("sourceIPv4Address"))
 _derived("fmt_mac", lambda: exprs.format_mac(_c("sourceMacAddress")), "rtrim(regexp_replace(sourceMacAddress, '(..)', '\\1:', 'g'), ':')")
-_derived("fmt_tcp_flags", lambda: exprs.tcp_flags(_c("tcpControlBits")), "array_to_string(list_filter([" + ", ".join(f"CASE WHEN tcpControlBits & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR"))) + "], lambda x: x IS NOT NULL), ',')")
-_derived("fmt_icmp", lambda: exprs.icmp_type_code(_c("sourceTransportPort")), "(sourceTransportPort >> 8) || '/' || (sourceTransportPort & 255)")
-_derived("fmt_protocol", lambda: exprs.protocol_name(_c("protocolIdentifier")), "CASE protocolIdentifier WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' END")
-_derived("fmt_bytes", lambda: exprs.format_bytes(_c("octetDeltaCount") * 64), "CASE WHEN octetDeltaCount * 64 < 1024 THEN (octetDeltaCount * 64) || ' B' WHEN octetDeltaCount * 64 < 1048576 THEN printf('%.1f', round(octetDeltaCount * 64 / 1024.0::DOUBLE, 1)) || ' KB' ELSE printf('%.1f', round(octetDeltaCount * 64 / 1048576.0::DOUBLE, 1)) || ' MB' END")
+_FLAGS = ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR")
+_derived("fmt_tcp_flags", lambda: exprs.tcp_flags(_c("tcpControlBits")), "CASE WHEN tcpControlBits = 0 THEN '0x000' ELSE array_to_string(list_filter([" + ", ".join(f"CASE WHEN tcpControlBits & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(_FLAGS)) + "], lambda x: x IS NOT NULL), ',') END")
+
+
+def _case(value: str, names: dict[int, str], other: str) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in names.items()) + f" ELSE {other} END"
+
+
+_ICMP = _case("(sysRowId % 4096) >> 8", tables.ICMP_TYPES, "NULL")
+_TYPE_CODE = "((sysRowId % 4096) >> 8) || '/' || (sysRowId % 256)"
+_derived("fmt_icmp", lambda: exprs.icmp_type_code(_c("sysRowId") % 4096), f"coalesce({_ICMP} || ' (' || {_TYPE_CODE} || ')', {_TYPE_CODE})")
+_derived("fmt_protocol", lambda: exprs.protocol_name(_c("sysRowId") % 256), _case("sysRowId % 256", tables.PROTOCOL_NAMES, "CAST(sysRowId % 256 AS VARCHAR)"))
+_derived("fmt_port", lambda: exprs.port_name(_c("sysRowId") % 30000), _case("sysRowId % 30000", tables.PORT_NAMES, "CAST(sysRowId % 30000 AS VARCHAR)"))
+_DSCP = _case("(sysRowId % 256) >> 2", tables.DSCP_NAMES, "NULL")
+_derived("fmt_tos", lambda: exprs.service_class(_c("sysRowId") % 256), f"coalesce({_DSCP} || ' (' || (sysRowId % 256) || ')', CAST(sysRowId % 256 AS VARCHAR))")
+_derived("fmt_forwarding", lambda: exprs.forwarding_status(_c("sysRowId") % 256), _case("(sysRowId % 256) & 3", tables.FORWARDING, "''"))
+for _e in tables.ENUMERATIONS:
+    _derived(f"fmt_enum_{_e}", lambda e=_e: exprs.enum_name(_c("sysRowId") % 12, e), _case("sysRowId % 12", tables.ENUMERATIONS[_e], "CAST(sysRowId % 12 AS VARCHAR)"))
+
+
+def _units(x: str, steps: tuple, least: str) -> str:
+    """A value over the first unit that it reaches, in SQL; ties go up."""
+    return "CASE " + " ".join(f"WHEN {x} >= {size} THEN printf('%.{digits}f', round({x} / {size}::DOUBLE + 1e-9, {digits})) || '{name}'" for size, digits, name in steps) + f" ELSE {least} END"
+
+
+_BIG = "(octetDeltaCount * CAST(pow(10, sysRowId % 9) AS BIGINT))"  # up to 5 * 10**12
+_big = lambda: _c("octetDeltaCount") * F.pow(F.lit(10.0), _c("sysRowId") % 9).cast("long")
+_derived("fmt_bytes", lambda: exprs.format_bytes(_big()), _units(_BIG, ((1 << 40, 2, " TB"), (1 << 30, 2, " GB"), (1 << 20, 1, " MB"), (1 << 10, 1, " KB")), f"{_BIG} || ' B'"))
+_derived("fmt_number", lambda: exprs.format_number(_big()), f"format('{{:,}}', {_BIG})")
+_derived("fmt_packets", lambda: exprs.format_packets(_big()), _units(_BIG, ((10**9, 2, "G"), (10**6, 1, "M"), (10**4, 1, "K")), f"format('{{:,}}', {_BIG})"))
+_derived("fmt_bps", lambda: exprs.format_bps(_big()), _units(_BIG, ((10**12, 2, " Tbps"), (10**9, 2, " Gbps"), (10**6, 1, " Mbps"), (10**3, 1, " Kbps")), f"{_BIG} || ' bps'"))
+_derived("fmt_pps", lambda: exprs.format_pps(_big()), _units(_BIG, ((10**9, 2, " Gpps"), (10**6, 1, " Mpps"), (10**3, 1, " Kpps")), f"{_BIG} || ' pps'"))
+
+
+def _spans_sql(s: str, rest: str) -> str:
+    parts = [f"CASE WHEN {v} > 0 THEN ({v}) || '{u}' END" for v, u in ((f"{s} // 86400", "d"), (f"{s} // 3600 % 24", "h"), (f"{s} // 60 % 60", "m"))]
+    return f"concat_ws(' ', {', '.join(parts)}, {rest})"
+
+
+_MS = "(sysRowId * 977)"
+_derived("fmt_duration", lambda: exprs.format_duration(_c("sysRowId") * 977), _spans_sql(f"({_MS} // 1000)", f"CASE WHEN {_MS} < 60000 AND {_MS} % 1000 > 0 THEN printf('%.1f', round({_MS} / 1000.0::DOUBLE, 1)) || 's' WHEN {_MS} // 1000 % 60 > 0 OR {_MS} < 60000 THEN ({_MS} // 1000 % 60) || 's' END"))
+_derived("fmt_uptime", lambda: exprs.format_uptime(_c("sysRowId") * 977), _spans_sql(_MS, f"CASE WHEN {_MS} % 60 > 0 OR {_MS} = 0 THEN ({_MS} % 60) || 's' END"))
+_AGE = f"({_HI} - sysExportTime)"
+_derived("fmt_relative", lambda: exprs.relative_time(_c("sysExportTime"), _HI), f"CASE WHEN {_AGE} < 0 THEN 'in the future' WHEN {_AGE} < 5000 THEN 'just now' WHEN {_AGE} < 60000 THEN ({_AGE} // 1000) || 's ago' WHEN {_AGE} < 3600000 THEN ({_AGE} // 60000) || 'm ago' WHEN {_AGE} < {_DAY} THEN ({_AGE} // 3600000) || 'h ago' WHEN {_AGE} < {7 * _DAY} THEN ({_AGE} // {_DAY}) || 'd ago' ELSE ({_AGE} // {7 * _DAY}) || 'w ago' END")
+_derived("fmt_asn", lambda: exprs.format_asn(_c("sysRowId") % 7), "CASE WHEN sysRowId % 7 <> 0 THEN 'AS' || (sysRowId % 7) END")
+_derived("fmt_sampling", lambda: exprs.sampling_rate(_c("sysRowId") % 7), "CASE WHEN sysRowId % 7 <> 0 THEN '1:' || (sysRowId % 7) END")
+_derived("fmt_interface", lambda: exprs.interface_name(_c("sysRowId") % 7, F.when(_c("sysRowId") % 7 > 3, "eth0"), True), "CASE WHEN sysRowId % 7 > 3 THEN 'eth0 (' || (sysRowId % 7) || ')' ELSE 'if' || (sysRowId % 7) END")
+_derived("fmt_cidr", lambda: exprs.format_cidr(_c("sourceIPv4Address"), F.when(_c("sysRowId") % 2 == 0, 24)), _IP.format("sourceIPv4Address") + " || CASE WHEN sysRowId % 2 = 0 THEN '/24' ELSE '' END")
+_ip6 = lambda: F.unhex(F.concat(F.lit("20010db8"), F.lpad(F.hex(_c("sysRowId") % 65536), 24, "0")))
+_derived("fmt_ipv6", lambda: exprs.ipv6_text(_ip6()), "CASE WHEN sysRowId % 65536 = 0 THEN '2001:db8::' ELSE '2001:db8::' || printf('%x', sysRowId % 65536) END")
+_times = {"flowStartMilliseconds": (4, "sysExportTime - 10"), "flowStartSeconds": (3, "sysExportTime div 1000 - 1"), "systemInitTimeMilliseconds": (2, "sysExportTime - 5000"), "flowStartSysUpTime": (2, "1000L")}
+
+
+def _with_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({n: F.expr(f"CASE WHEN sysRowId % 5 >= {k} THEN {e} END") for n, (k, e) in _times.items()})
+
+
+QUERIES["derived_start"] = lambda spark, d: (lambda df: df.select("sysRowId", exprs.flow_time(df.columns, "Start").alias("x")))(_with_times(flows(spark, d)))
+SQL["derived_start"] = _sql("SELECT sysRowId, CASE sysRowId % 5 WHEN 4 THEN sysExportTime - 10 WHEN 3 THEN (sysExportTime // 1000 - 1) * 1000 WHEN 2 THEN sysExportTime - 4000 ELSE sysExportTime END AS x FROM flows")
 _derived("fmt_time", lambda: exprs.format_time(_c("sysExportTime")), "strftime(make_timestamp(sysExportTime * 1000), '%Y-%m-%d %H:%M:%S.%g')")
 
 
+# A view with an IPv6 address, a flag and a port list, for tests on those kinds.
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    return flows(spark, d).withColumns({"sourceIPv6Address": _ip6(), "isMulticast": _c("sysRowId") % 3 == 0})
+
+
+def _wider(name: str, query: str | dict, where: str, **how) -> None:
+    asked = parse(f"{_ALL} | {query} | {_IDS}") if isinstance(query, str) else from_json({"time_range": {"type": "absolute", "start": "2024-01-01", "end": "2024-02-01"}, "filters": [query], "columns": ["sysRowId", "sysExportTime"]})
+    QUERIES[name] = lambda spark, d: _plain(plan(asked, _wide(spark, d), **how))
+    SQL[name] = _sql(f"SELECT sysRowId, sysExportTime {_W} AND ({where})")
+
+
+_wider("ip6_eq", "src 2001:db8::1f4", "sysRowId % 65536 = 500")
+_wider("ip6_cidr", "src 2001:db8::100/120", "sysRowId % 65536 BETWEEN 256 AND 511")
+_wider("ip6_list", {"field": "src", "op": "in", "value": ["2001:db8::1", "2001:db8::2", "10.0.30.239"]}, "sysRowId % 65536 IN (1, 2) OR sourceIPv4Address = 167780079")
+_wider("bool_eq", {"field": "isMulticast", "op": "eq", "value": True}, "sysRowId % 3 = 0")
+_wider("bool_ne", {"field": "isMulticast", "op": "ne", "value": True}, "sysRowId % 3 <> 0")
+_wider("num_not_in", {"field": "packets", "op": "not_in", "value": [1, 2, 3]}, "packetDeltaCount NOT IN (1, 2, 3)")
+_wider("str_not_in", {"field": "app", "op": "not_in", "value": ["click", "view"]}, "applicationName NOT IN ('click', 'view')")
+_wider("mac_in", {"field": "srcmac", "op": "in", "value": ["00:00:00:64:00:64", "000000650065"]}, "sourceMacAddress IN ('000000640064', '000000650065')")
+_wider("ip_octet_range", "dst 192.168.1-2.7", "destinationIPv4Address IN (3232235783, 3232236039)")
+_wider("json_negated_group", {"logic": "or", "negated": True, "filters": [{"field": "proto", "op": "eq", "value": "udp"}, {"field": "dport", "op": "in", "value": [80, 443]}]}, "NOT (protocolIdentifier = 17 OR destinationTransportPort IN (80, 443))")
+QUERIES["group_subnet6"] = lambda spark, d: _plain(plan(f"{_ALL} | group by sourceIPv6Address /120 | count()", _wide(spark, d)))
+SQL["group_subnet6"] = _sql(f"SELECT '2001:0db8:0000:0000:0000:0000:0000:' || printf('%04x', sysRowId % 65536 // 256 * 256) || '/120' AS sourceIPv6Address_120, count(*) AS count {_W} GROUP BY 1")
+_add("time_default", f"| {_IDS}", f"SELECT sysRowId, sysExportTime FROM flows WHERE sysExportTime BETWEEN {_NOW - 3_600_000} AND {_NOW}")
+_RANGE = {"type": "absolute", "start": "2024-01-01", "end": "2024-02-01"}
+_add("json_relative", {"time_range": {"type": "relative", "duration": "2h"}, "columns": ["sysRowId", "sysExportTime"]}, f"SELECT sysRowId, sysExportTime FROM flows WHERE sysExportTime BETWEEN {_NOW - 7_200_000} AND {_NOW}")
+_add("json_top_n", {"time_range": _RANGE, "columns": ["sysRowId", "bytes"], "aggregate": {"type": "top_n", "n": 10, "function": "sum", "field": "bytes", "bottom": False}}, f"SELECT sysRowId, octetDeltaCount {_W} ORDER BY octetDeltaCount DESC, {_NEW} LIMIT 10")
+_add("json_sort", {"time_range": _RANGE, "columns": ["sysRowId", "packets"], "aggregate": {"type": "sort", "function": "sum", "field": "packets", "direction": "asc"}}, f"SELECT sysRowId, packetDeltaCount {_W} ORDER BY packetDeltaCount, {_NEW} LIMIT 40", limit=40)
+_add("json_limit", {"time_range": _RANGE, "columns": ["sysRowId", "sysExportTime"], "aggregate": {"type": "limit", "n": 30}}, f"SELECT sysRowId, sysExportTime {_W} ORDER BY {_NEW} LIMIT 30")
+QUERIES["page_total"] = lambda spark, d: hist.total(f"{_ALL} | dport 22", flows(spark, d))
+SQL["page_total"] = _sql(f"SELECT count(*) AS total {_W} AND destinationTransportPort = 22")
+
+
+def _with_uuids(spark: SparkSession, d: str) -> DataFrame:
+    return flows(spark, d).withColumn("sysRowId", exprs.row_id(_c("sysExportTime"), _c("sysRowId")))
+
+
+def _row_by_uuid(spark: SparkSession, d: str) -> DataFrame:
+    some = _with_uuids(spark, d).where("sourceTransportPort = 1024 + 4242").orderBy("sysExportTime").first()["sysRowId"]
+    return hist.row_by_id(_with_uuids(spark, d), some).drop("sysRowId")
+
+
+QUERIES["row_by_uuid"] = _row_by_uuid
+SQL["row_by_uuid"] = _sql("SELECT * EXCLUDE (sysRowId) FROM flows WHERE sourceTransportPort = 1024 + 4242 ORDER BY sysExportTime LIMIT 1")
+
+
 def _union(spark: SparkSession, d: str) -> DataFrame:
     all_rows = flows(spark, d)
     old = all_rows.where("sysRowId % 2 = 0").drop("destinationIPv4Address", "applicationName")
@@ -194,9 +300,51 @@ SQL["export_tsv"] = _sql("SELECT sysRowId || chr(9) || applicationName || chr(9)
 SQL["export_ltsv"] = _sql("SELECT 'sysRowId:' || sysRowId || chr(9) || 'applicationName:' || applicationName || chr(9) || 'octetDeltaCount:' || octetDeltaCount AS line FROM flows")
 SQL["export_ndjson"] = _sql("""SELECT '{"sysRowId":' || sysRowId || ',"applicationName":"' || applicationName || '","octetDeltaCount":' || octetDeltaCount || '}' AS line FROM flows""")
 
+_ODD = "CASE event WHEN 0 THEN NULL WHEN 1 THEN 'a\"b' WHEN 2 THEN 'c,d' WHEN 3 THEN concat('e', chr(9), 'f') ELSE 'plain' END"
+
+
+def _odd(spark: SparkSession, d: str) -> DataFrame:
+    return flows(spark, d).withColumn("event", _c("sysRowId") % 5).select("sysRowId", F.expr(_ODD.replace('"', '\\"')).alias("note"))
+
+
+_ODD_SQL = f"WITH o AS (SELECT sysRowId, {_ODD} AS note FROM (SELECT *, sysRowId % 5 AS event FROM flows)) "
+_ODD_FORMS = {
+    "csv": "SELECT 'sysRowId,note' AS line UNION ALL SELECT sysRowId || ',' || CASE WHEN note IS NULL THEN '' WHEN regexp_matches(note, '[\",]') THEN '\"' || replace(note, '\"', '\"\"') || '\"' ELSE note END FROM o",
+    "tsv": "SELECT 'sysRowId' || chr(9) || 'note' AS line UNION ALL SELECT sysRowId || chr(9) || coalesce(replace(note, chr(9), ' '), '') FROM o",
+    "ltsv": "SELECT 'sysRowId:' || sysRowId || coalesce(chr(9) || 'note:' || replace(note, chr(9), ' '), '') AS line FROM o",
+    "json": """SELECT '{"sysRowId":' || sysRowId || ',"note":' || coalesce('"' || replace(replace(note, '"', '\\"'), chr(9), '\\t') || '"', 'null') || '}' AS line FROM o""",
+}
+for _kind, _body in _ODD_FORMS.items():
+    QUERIES[f"export_{_kind}_odd"] = lambda spark, d, kind=_kind: export.lines(_odd(spark, d), kind, header=True)
+    SQL[f"export_{_kind}_odd"] = _sql("SELECT 1").replace("SELECT 1", "").rstrip() + ", " + _ODD_SQL.removeprefix("WITH ") + _body
+
 for _kind in ("ipfix", "netflow_v9", "netflow_v5"):
     QUERIES[f"{_kind}_decode"] = lambda spark, d, kind=_kind: samples.decoded(spark, d, kind)
-    SQL[f"{_kind}_decode"] = _sql("SELECT sourceIPv4Address, destinationIPv4Address, sourceTransportPort, destinationTransportPort, protocolIdentifier, octetDeltaCount FROM flows WHERE sysRowId < 3000")
+    SQL[f"{_kind}_decode"] = _sql("SELECT sourceIPv4Address, destinationIPv4Address, sourceTransportPort, destinationTransportPort, protocolIdentifier, octetDeltaCount FROM flows")
+
+
+QUERIES["interface_names"] = samples.interfaces
+SQL["interface_names"] = _sql("SELECT 167772161 + i % 16 AS exporter, 1 AS domain, i AS interface, 'port' || i AS name FROM (SELECT DISTINCT sysRowId % 1024 AS i FROM flows)")
+
+
+def _stored(spark: SparkSession, d: str) -> DataFrame:
+    """Flows stored by hour, compacted, old hours dropped, and asked by time: what is left of one day."""
+    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/checkpoints').rstrip('/')}/flows/{uuid.uuid4().hex}"
+    two_days = flows(spark, d).where(_c("sysExportTime").between(_LO, _LO + 2 * _DAY - 1))
+    sink.store(two_days.withColumnRenamed("sysRowId", "rid"), base)
+    hour = datetime.fromtimestamp(_LO / 1000, timezone.utc)
+    for k in (0, 1):
+        sink.compact(spark, base, hour + timedelta(hours=k), f"{base}-compact")
+        sink.compact(spark, base, hour + timedelta(hours=k), f"{base}-compact")  # again: nothing doubles
+    rest = spark.read.parquet(base).where("NOT (month = 1 AND day = 1 AND hour < 2)")
+    sink.store(rest.drop(*sink.PARTITIONS), f"{base}-compact")
+    old = sink.expired_hours(spark, f"{base}-compact", hour + timedelta(hours=30), 24)
+    sink.drop_hours(spark, f"{base}-compact", old)
+    return plan("2024-01-01 | select rid, sysExportTime, src", read_flows(spark, f"{base}-compact"), STORED_LAYOUT)
+
+
+QUERIES["store_compact_retain"] = _stored
+SQL["store_compact_retain"] = _sql(f"SELECT sysRowId AS rid, sysExportTime, sourceIPv4Address FROM flows WHERE sysExportTime BETWEEN {_LO + 6 * 3_600_000} AND {_LO + _DAY - 1}")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

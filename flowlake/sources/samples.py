@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..streaming.decode import decode_batch
+from ..streaming.decode import FIELDS, decode_batch, interface_names
 from .flows import flows
 
 _TEMPLATE = ((8, 4), (12, 4), (7, 2), (11, 2), (4, 1), (1, 8))
@@ -48,4 +48,22 @@ def datagrams(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return decode_batch(datagrams(spark, sf_dir, kind)).select(*[F.col(c).cast("long").alias(c) if c != "protocolIdentifier" else F.col(c) for c in COLUMNS])
+    fields = tuple(f for f in FIELDS if f[0] in COLUMNS)
+    return decode_batch(datagrams(spark, sf_dir, kind), fields).select(*[F.col(c).cast("long").alias(c) if c != "protocolIdentifier" else F.col(c) for c in COLUMNS])
+
+
+def interfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names told in options by 16 exporters: one option message an interface number, after its exporter's template."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i in pdf["i"]:
+                ip, name = 167772161 + i % 16, f"port{i}".encode()
+                template = _set(3, struct.pack(">HHHHHHH", 257, 2, 1, 10, 4, 82, 65535))
+                body = template + _set(257, struct.pack(">IB", i, len(name)) + name)
+                rows.append((ip, 4739, 1_700_000_000_000, i, struct.pack(">HHIII", 10, 16 + len(body), 1_700_000_000, 1, 1) + body))
+            yield pd.DataFrame(rows, columns=["exporter_ip", "exporter_port", "received_ms", "seq", "data"])
+
+    numbers = flows(spark, sf_dir).select((F.col("sysRowId") % 1024).alias("i")).distinct()
+    return interface_names(numbers.mapInPandas(pack, "exporter_ip long, exporter_port int, received_ms long, seq long, data binary"))

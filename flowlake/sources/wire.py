@@ -33,12 +33,29 @@ class Session:
     interfaces: dict[tuple, str] = field(default_factory=dict)
     waiting: list[tuple] = field(default_factory=list)
     registry: dict | None = None
+    #: Bytes that may wait for templates; beyond it the oldest sets go, and count as lost.
+    spool_bytes: int = 16 << 20
+    lost: int = 0
+
+    def wait(self, found: tuple) -> None:
+        self.waiting.append(found)
+        size = sum(len(w[3]) for w in self.waiting) if len(self.waiting) % 64 == 0 or len(found[3]) > self.spool_bytes // 64 else 0
+        while size > self.spool_bytes and self.waiting:
+            size -= len(self.waiting.pop(0)[3])
+            self.lost += 1
 
     def expire(self, now: float, template_age: float = 1800, spool_age: float = 300) -> None:
         self.templates = {k: t for k, t in self.templates.items() if now - t.seen <= template_age}
         self.waiting = [w for w in self.waiting if now - w[0] <= spool_age]
 
 
+def _short(layout: str, body: bytes, at: int) -> tuple:
+    """Numbers at a place of a set; a set that ends before them is refused."""
+    if at + struct.calcsize(layout) > len(body):
+        raise WireError("set is cut off")
+    return struct.unpack_from(layout, body, at)
+
+
 def value(data: bytes, kind: str):
     """A field as its type says; other lengths than the type allows stay bytes."""
     n = len(data)
@@ -64,10 +81,10 @@ def _templates(body: bytes, options: bool, v9: bool, session: Session, where: tu
         at += 4
         scopes = 0
         if options and v9:
-            scope_bytes, option_bytes = count, struct.unpack_from(">H", body, at)[0]
+            scope_bytes, option_bytes = count, _short(">H", body, at)[0]
             at, scopes, count = at + 2, scope_bytes // 4, (scope_bytes + option_bytes) // 4
         elif options and count:
-            scopes = struct.unpack_from(">H", body, at)[0]
+            scopes = _short(">H", body, at)[0]
             at += 2
         if number < 256 and number not in (2, 3):
             return  # padding
@@ -77,13 +94,11 @@ def _templates(body: bytes, options: bool, v9: bool, session: Session, where: tu
             continue
         fields = []
         for k in range(count):
-            if at + 4 > len(body):
-                return
-            element, length = struct.unpack_from(">HH", body, at)
+            element, length = _short(">HH", body, at)
             at += 4
             enterprise = 0
             if element & 0x8000 and not v9:
-                enterprise = struct.unpack_from(">I", body, at)[0]
+                enterprise = _short(">I", body, at)[0]
                 element, at = element & 0x7FFF, at + 4
             elif v9:
                 element = 10 if k < scopes and element == 2 else _V9_VENDOR.get(element, element)
@@ -102,7 +117,7 @@ def _records(body: bytes, template: Template, session: Session):
                     return
                 length, at = body[at], at + 1
                 if length == 255:
-                    length, at = struct.unpack_from(">H", body, at)[0], at + 2
+                    length, at = _short(">H", body, at)[0], at + 2
             if at + length > len(body):
                 return
             name, kind = tables.element(enterprise, element, session.registry)
@@ -190,5 +205,5 @@ def decode(data: bytes, exporter: tuple, session: Session, now: float) -> list[d
                 template.seen = now
                 _emit(body, template, session, where, seconds, out)
             else:
-                session.waiting.append((now, where, number, body, seconds))
+                session.wait((now, where, number, body, seconds))
     return out

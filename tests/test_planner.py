@@ -105,7 +105,7 @@ def test_expressions(spark):
         exprs.bits_per_second(F.lit(10), F.lit(0)).alias("none"), exprs.row_id(F.lit(1_700_000_000_123), F.lit("x")).alias("id"), exprs.icmp_type_code(F.lit(2049)).alias("icmp"), exprs.forwarding_status(F.lit(64)).alias("fwd"),
     ).first()
     assert (row.ip, row.net, row.net6) == ("192.168.1.1", "192.168.0.0/16", "2001:0db8:c000:0000:0000:0000:0000:0000/34")
-    assert (row.flags, row.b, row.d, row.mac, row.neg, row.none, row.icmp, row.fwd) == ("SYN,ACK", "1.5 KB", "1d 1h 1m 1s", "aa:bb:cc:dd:ee:ff", 0, None, "8/1", "forwarded")
+    assert (row.flags, row.b, row.d, row.mac, row.neg, row.none, row.icmp, row.fwd) == ("SYN,ACK", "1.5 KB", "1d 1h 1m 1s", "aa:bb:cc:dd:ee:ff", 0, None, "Echo Request (8/1)", "Unknown")
     assert spark.range(1).select(exprs.row_id_time(F.lit(row.id)).alias("t")).first().t == 1_700_000_000_123 and row.id[14] == "7"
 
 
@@ -113,7 +113,7 @@ def test_export(spark):
     df = spark.createDataFrame([(1, 'a"b,c'), (2, None), (3, "x\ty")], "n int, s string")
     assert [r.line for r in export.lines(df, "csv").collect()] == ['1,"a""b,c"', "2,", "3,x\ty"]
     assert [r.line for r in export.lines(df, "ltsv").collect()] == ['n:1\ts:a"b,c', "n:2", "n:3\ts:x y"]
-    assert [r.line for r in export.lines(df, "ndjson").collect()][1] == '{"n":2}'
+    assert [r.line for r in export.lines(df, "ndjson").collect()][1] == '{"n":2,"s":null}'
 
 
 def test_steps():
@@ -132,3 +132,31 @@ def test_against_duckdb(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_ipv6_text_and_units(spark):
+    import ipaddress
+
+    texts = ["::", "::1", "2001:db8::1", "fe80::", "2001:db8:0:1:1:1:1:1", "1:0:0:2:0:0:0:3", "1:0:0:2:0:0:3:4", "a:b:c:d:e:f:10:200", "0:0:1::", "10::a0:0:0:1"]
+    rows = [(t, bytearray(ipaddress.IPv6Address(t).packed)) for t in texts]
+    got = {r.t: r.x for r in spark.createDataFrame(rows, "t string, ip binary").select("t", exprs.ipv6_text(F.col("ip")).alias("x")).collect()}
+    # One zero group stays as it is; of equal runs the first is shortened.
+    assert got == {t: ipaddress.IPv6Address(t).compressed for t in texts}
+    r = spark.range(1).select(
+        exprs.format_duration(F.lit(500)).alias("a"), exprs.format_duration(F.lit(0)).alias("b"), exprs.format_uptime(F.lit(3661)).alias("c"), exprs.format_bytes(F.lit(3 << 30)).alias("d"), exprs.format_packets(F.lit(9999)).alias("e"),
+        exprs.format_number(F.lit(1234567.891)).alias("f"), exprs.icmp_type_code(F.lit(0x0301), True).alias("g"), exprs.service_class(F.lit(0xB8)).alias("h"), exprs.format_pps(F.lit(12)).alias("i"), exprs.relative_time(F.lit(0), 90_000).alias("j"),
+    ).first()
+    assert tuple(r) == ("0.5s", "0s", "1h 1m 1s", "3.00 GB", "9,999", "1,234,567.89", "Host Unreachable (3/1)", "EF (184)", "12 pps", "1m ago")
+
+
+def test_approximate_aggregates_and_pages(spark):
+    from flowlake.operators.histogram import page
+    from flowlake.sources.flows import flows
+
+    df = flows(spark, "/root/testdata/sf0.001")
+    q = "2024-01-01..2024-02-01 | group by app | uniq(bytes), p95(bytes)"
+    exact, near = ({r[0]: r for r in plan(q, df, approximate=a).collect()} for a in (False, True))
+    assert all(abs(near[k][i] - exact[k][i]) <= 0.05 * exact[k][i] for k in exact for i in (1, 2))
+    p = page("2024-01-01..2024-02-01 | select sysRowId, bytes", df, 10, count=True, columns=("sysRowId", "octetDeltaCount", "vlanId"))
+    assert p.total == df.where("sysExportTime < 1706745600001").count() and p.rows.columns == ["sysRowId", "octetDeltaCount", "vlanId"] and p.has_more
+    assert plan("2024-01-01..2024-02-01 | sort sum(bytes)", df).count() == p.total

@@ -1,13 +1,15 @@
+import random
 import struct
 from datetime import datetime, timezone
 
 import pytest
 
-from flowlake.sources.flows import flows
+from flowlake.operators.planner import plan
+from flowlake.sources.flows import STORED_LAYOUT, flows, read_flows
 from flowlake.sources.samples import COLUMNS, datagrams, decoded, message
 from flowlake.sources.wire import Session, WireError, decode, value
 from flowlake.streaming import sink
-from flowlake.streaming.decode import SCHEMA, decode_batch, decode_stream
+from flowlake.streaming.decode import SCHEMA, decode_batch, decode_stream, interface_names
 
 ROW = (3232235777, 167772161, 1234, 80, 6, 999)
 EXPORTER = (167772161, 4739)
@@ -94,7 +96,11 @@ def test_stream_store_compact_retain(spark, tmp_path):
     hour = datetime(2023, 11, 14, 22, tzinfo=timezone.utc)
     sink.compact(spark, batch, hour, merged)
     rows = spark.read.parquet(merged)
-    assert rows.count() == 2 and rows.where("sysRowId IS NULL").count() == 1
+    assert rows.count() == 2 and rows.select("sysRowId").distinct().count() == 2 and rows.where("sysRowId IS NULL").isEmpty()
+    sink.compact(spark, batch, hour, merged)  # again: the hour is replaced
+    assert spark.read.parquet(merged).count() == 2
+    found = plan("2023-11-14..2023-11-15 | src 192.168.1.1 | select sysRowId, src", read_flows(spark, merged), STORED_LAYOUT)
+    assert found.count() == 2 and "PartitionFilters: [isnotnull(year" in found._jdf.queryExecution().toString()
     assert sink.expired_hours(spark, merged, datetime(2024, 1, 14, tzinfo=timezone.utc)) == [hour]
     assert sink.expired_hours(spark, merged, datetime(2024, 1, 14, tzinfo=timezone.utc), 0) == []
     sink.drop_hours(spark, merged, [hour])
@@ -102,6 +108,67 @@ def test_stream_store_compact_retain(spark, tmp_path):
     assert SCHEMA
 
 
+CUT = [
+    ipfix((2, struct.pack(">HHHH", 256, 1, 0x8001, 4))),  # within an enterprise field
+    ipfix((3, struct.pack(">HH", 256, 2))),  # an options template without scopes
+    struct.pack(">HHIIII", 9, 1, 1, 1_700_000_000, 1, 1) + struct.pack(">HHHH", 1, 8, 256, 4),
+    ipfix((2, struct.pack(">HHHH", 256, 1, 82, 65535)), (256, b"\xff\x01")),  # within a long length
+]
+
+
+@pytest.mark.parametrize("data", CUT)
+def test_cut_sets_are_refused(data):
+    with pytest.raises(WireError):
+        decode(data, EXPORTER, Session(), 0)
+
+
+def test_any_bytes_are_decoded_or_refused(spark):
+    """Whole messages with bytes changed or cut: no other error, and other messages of the batch still come."""
+    rnd = random.Random(7)
+    options = ipfix((3, struct.pack(">HHHHHHH", 257, 2, 1, 10, 4, 82, 65535)), (257, struct.pack(">I", 1) + b"\x02e0"))
+    whole = [message(k, [ROW] * 3) for k in ("ipfix", "netflow_v9", "netflow_v5")] + [options, *CUT]
+    broken = []
+    for k in range(4000):
+        data = bytearray(whole[k % len(whole)])
+        for _ in range(rnd.randint(1, 6)):
+            data[rnd.randrange(2, len(data))] = rnd.randrange(256)
+        broken.append(bytes(data[: rnd.randint(2, len(data))] if rnd.random() < 0.3 else data))
+    session = Session()
+    for data in broken:
+        try:
+            decode(data, EXPORTER, session, 0)
+        except WireError:
+            pass
+    top = ipfix((2, struct.pack(">HHHHHH", 256, 2, 8, 4, 1, 8)), (256, bytes(4) + b"\xff" * 8))
+    grams = [(EXPORTER[0], k % 3, k, k, data) for k, data in enumerate(broken[:300])] + [(9, 9, 1, 1, CUT[0]), (9, 9, 2, 2, top)]
+    df = spark.createDataFrame(grams, "exporter_ip long, exporter_port int, received_ms long, seq long, data binary")
+    assert [r.octetDeltaCount for r in decode_batch(df).where("sysExporterIPv4 = 9").collect()] == [(1 << 63) - 1]
+
+
+def test_spool_is_bounded():
+    s = Session(spool_bytes=10_000)
+    for _ in range(500):
+        decode(ipfix((300, b"x" * 100)), EXPORTER, s, 0)
+    assert sum(len(w[3]) for w in s.waiting) <= 10_000 + 64 * 100 and s.lost > 300
+
+
+def test_interface_names(spark):
+    t = struct.pack(">HHHHHHH", 257, 2, 1, 10, 4, 82, 65535)
+    d = lambda n, name: struct.pack(">I", n) + bytes([len(name)]) + name
+    grams = [(5, 1, 1, 0, ipfix((3, t), (257, d(1, b"a0") + d(2, b"b0")))), (5, 1, 2, 1, ipfix((257, d(1, b"a1")))), (6, 1, 1, 0, ipfix((257, d(7, b"no template"))))]
+    df = spark.createDataFrame(grams, "exporter_ip long, exporter_port int, received_ms long, seq long, data binary")
+    assert {tuple(r) for r in interface_names(df).collect()} == {(5, 1, 1, "a1"), (5, 1, 2, "b0")}
+
+
+def test_decoded_columns_keep_known_elements(spark):
+    fields = ((8, 4), (152, 8), (153, 8), (136, 1), (468, 65535), (460, 65535))
+    t = struct.pack(">HH", 256, len(fields)) + b"".join(struct.pack(">HH", *f) for f in fields)
+    d = struct.pack(">IQQB", 1, 1000, 2500, 3) + b"\x03a.b" + b"\x03GET"
+    df = spark.createDataFrame([(5, 1, 1, 0, ipfix((2, t), (256, d)))], "exporter_ip long, exporter_port int, received_ms long, seq long, data binary")
+    r = decode_batch(df).first()
+    assert (r.flowStartMilliseconds, r.flowEndMilliseconds, r.flowEndReason, r.dnsQueryName, r.httpRequestMethod, r.sysFlowDuration) == (1000, 2500, 3, "a.b", "GET", 1500)
+
+
 @pytest.mark.parametrize("kind", ["ipfix", "netflow_v9", "netflow_v5"])
 def test_whole_table_over_many_exporters(spark, kind):
     sf = "/root/testdata/sf0.01"
