@@ -26,15 +26,9 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(w: Column, width: int) -> Column:
-    """Hashes of the shingles in order. Words are hashed once; runs of two and four hashes are combined from shorter ones."""
-    out, done, run, have = None, 0, F.transform(w, lambda x: F.xxhash64(x)), 1
-    pair = lambda a, b: F.xxhash64(a, b)
-    while have <= width:  # the bits of width, each run from where the last ended
-        if width & have:
-            out = run if out is None else F.zip_with(out, F.slice(run, done + 1, F.size(w)), pair)
-            done += have
-        run, have = F.zip_with(run, F.slice(run, have + 1, F.size(w)), pair), have * 2
-    return F.when(F.size(w) >= width, F.slice(out, 1, F.size(w) - width + 1)).otherwise(F.array().cast("array<bigint>"))
+    """Hashes of the shingles in order."""
+    hashed = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*[F.get(w, i + F.lit(k)) for k in range(width)]))
+    return F.when(F.size(w) >= width, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
 def ascii_lower(text: Column) -> Column:
