@@ -21,23 +21,38 @@ IPV6_OF = {"sourceIPv4Address": "sourceIPv6Address", "destinationIPv4Address": "
 
 # Information elements that decoders know without a registry file (IANA assignments).
 ELEMENTS = {
-    1: ("octetDeltaCount", "u64"), 2: ("packetDeltaCount", "u64"), 3: ("deltaFlowCount", "u64"), 4: ("protocolIdentifier", "u8"), 5: ("ipClassOfService", "u8"),
-    6: ("tcpControlBits", "u16"), 7: ("sourceTransportPort", "u16"), 8: ("sourceIPv4Address", "ip4"), 9: ("sourceIPv4PrefixLength", "u8"), 10: ("ingressInterface", "u32"),
-    11: ("destinationTransportPort", "u16"), 12: ("destinationIPv4Address", "ip4"), 13: ("destinationIPv4PrefixLength", "u8"), 14: ("egressInterface", "u32"),
-    15: ("ipNextHopIPv4Address", "ip4"), 16: ("bgpSourceAsNumber", "u32"), 17: ("bgpDestinationAsNumber", "u32"), 18: ("bgpNextHopIPv4Address", "ip4"),
-    21: ("flowEndSysUpTime", "u32"), 22: ("flowStartSysUpTime", "u32"), 23: ("postOctetDeltaCount", "u64"), 24: ("postPacketDeltaCount", "u64"),
-    27: ("sourceIPv6Address", "ip6"), 28: ("destinationIPv6Address", "ip6"), 29: ("sourceIPv6PrefixLength", "u8"), 30: ("destinationIPv6PrefixLength", "u8"),
-    31: ("flowLabelIPv6", "u32"), 32: ("icmpTypeCodeIPv4", "u16"), 34: ("samplingInterval", "u32"), 35: ("samplingAlgorithm", "u8"), 38: ("engineType", "u8"), 39: ("engineId", "u8"),
-    48: ("samplerId", "u16"), 56: ("sourceMacAddress", "mac"), 57: ("postDestinationMacAddress", "mac"), 58: ("vlanId", "u16"), 59: ("postVlanId", "u16"), 60: ("ipVersion", "u8"),
-    61: ("flowDirection", "u8"), 62: ("ipNextHopIPv6Address", "ip6"), 63: ("bgpNextHopIPv6Address", "ip6"), 80: ("destinationMacAddress", "mac"), 81: ("postSourceMacAddress", "mac"),
-    82: ("interfaceName", "str"), 83: ("interfaceDescription", "str"), 85: ("octetTotalCount", "u64"), 86: ("packetTotalCount", "u64"), 89: ("forwardingStatus", "u32"),
-    94: ("applicationDescription", "str"), 95: ("applicationId", "oct"), 96: ("applicationName", "str"), 130: ("exporterIPv4Address", "ip4"), 131: ("exporterIPv6Address", "ip6"),
-    136: ("flowEndReason", "u8"), 139: ("icmpTypeCodeIPv6", "u16"), 148: ("flowId", "u64"), 149: ("observationDomainId", "u32"), 150: ("flowStartSeconds", "sec"), 151: ("flowEndSeconds", "sec"),
-    152: ("flowStartMilliseconds", "ms"), 153: ("flowEndMilliseconds", "ms"), 160: ("systemInitTimeMilliseconds", "ms"), 161: ("flowDurationMilliseconds", "u32"),
-    176: ("icmpTypeIPv4", "u8"), 177: ("icmpCodeIPv4", "u8"), 178: ("icmpTypeIPv6", "u8"), 179: ("icmpCodeIPv6", "u8"), 192: ("ipTTL", "u8"), 195: ("ipDiffServCodePoint", "u8"),
-    225: ("postNATSourceIPv4Address", "ip4"), 226: ("postNATDestinationIPv4Address", "ip4"), 227: ("postNAPTSourceTransportPort", "u16"), 228: ("postNAPTDestinationTransportPort", "u16"),
-    230: ("natEvent", "u8"), 231: ("initiatorOctets", "u64"), 232: ("responderOctets", "u64"), 234: ("ingressVRFID", "u32"), 235: ("egressVRFID", "u32"), 236: ("VRFname", "str"),
-    312: ("absoluteError", "f64"), 313: ("relativeError", "f64"), 459: ("httpStatusCode", "u16"), 460: ("httpRequestMethod", "str"), 461: ("httpRequestHost", "str"), 462: ("httpRequestTarget", "str"),
+    1: ("octetDeltaCount", "u64"), 2: ("packetDeltaCount", "u64"), 3: ("deltaFlowCount", "u64"), 4: ("protocolIdentifier", "u8"), 5: ("ipClassOfService", "u8"), 6: ("tcpControlBits", "u16"), 7: ("sourceTransportPort", "u16"),
+    8: ("sourceIPv4Address", "ip4"), 9: ("sourceIPv4PrefixLength", "u8"), 10: ("ingressInterface", "u32"), 11: ("destinationTransportPort", "u16"), 12: ("destinationIPv4Address", "ip4"), 13: ("destinationIPv4PrefixLength", "u8"),
+    14: ("egressInterface", "u32"), 15: ("ipNextHopIPv4Address", "ip4"), 16: ("bgpSourceAsNumber", "u32"), 17: ("bgpDestinationAsNumber", "u32"), 18: ("bgpNextHopIPv4Address", "ip4"), 19: ("postMCastPacketDeltaCount", "u64"),
+    20: ("postMCastOctetDeltaCount", "u64"), 21: ("flowEndSysUpTime", "u32"), 22: ("flowStartSysUpTime", "u32"), 23: ("postOctetDeltaCount", "u64"), 24: ("postPacketDeltaCount", "u64"), 25: ("minimumIpTotalLength", "u64"),
+    26: ("maximumIpTotalLength", "u64"), 27: ("sourceIPv6Address", "ip6"), 28: ("destinationIPv6Address", "ip6"), 29: ("sourceIPv6PrefixLength", "u8"), 30: ("destinationIPv6PrefixLength", "u8"), 31: ("flowLabelIPv6", "u32"),
+    32: ("icmpTypeCodeIPv4", "u16"), 33: ("igmpType", "u8"), 34: ("samplingInterval", "u32"), 35: ("samplingAlgorithm", "u8"), 36: ("flowActiveTimeout", "u16"), 37: ("flowIdleTimeout", "u16"), 38: ("engineType", "u8"),
+    39: ("engineId", "u8"), 40: ("exportedOctetTotalCount", "u64"), 41: ("exportedMessageTotalCount", "u64"), 42: ("exportedFlowRecordTotalCount", "u64"), 44: ("sourceIPv4Prefix", "ip4"), 45: ("destinationIPv4Prefix", "ip4"),
+    46: ("mplsTopLabelType", "u8"), 47: ("mplsTopLabelIPv4Address", "ip4"), 48: ("samplerId", "u16"), 52: ("minimumTTL", "u8"), 53: ("maximumTTL", "u8"), 54: ("fragmentIdentification", "u32"), 55: ("postIpClassOfService", "u8"),
+    56: ("sourceMacAddress", "mac"), 57: ("postDestinationMacAddress", "mac"), 58: ("vlanId", "u16"), 59: ("postVlanId", "u16"), 60: ("ipVersion", "u8"), 61: ("flowDirection", "u8"), 62: ("ipNextHopIPv6Address", "ip6"),
+    63: ("bgpNextHopIPv6Address", "ip6"), 64: ("ipv6ExtensionHeaders", "u32"), 70: ("mplsTopLabelStackSection", "oct"), 80: ("destinationMacAddress", "mac"), 81: ("postSourceMacAddress", "mac"), 82: ("interfaceName", "str"),
+    83: ("interfaceDescription", "str"), 84: ("samplerName", "str"), 85: ("octetTotalCount", "u64"), 86: ("packetTotalCount", "u64"), 88: ("fragmentOffset", "u16"), 89: ("forwardingStatus", "u32"),
+    90: ("mplsVpnRouteDistinguisher", "oct"), 91: ("mplsTopLabelPrefixLength", "u8"), 94: ("applicationDescription", "str"), 95: ("applicationId", "oct"), 96: ("applicationName", "str"), 98: ("postIpDiffServCodePoint", "u8"),
+    128: ("bgpNextAdjacentAsNumber", "u32"), 129: ("bgpPrevAdjacentAsNumber", "u32"), 130: ("exporterIPv4Address", "ip4"), 131: ("exporterIPv6Address", "ip6"), 132: ("droppedOctetDeltaCount", "u64"),
+    133: ("droppedPacketDeltaCount", "u64"), 134: ("droppedOctetTotalCount", "u64"), 135: ("droppedPacketTotalCount", "u64"), 136: ("flowEndReason", "u8"), 138: ("observationPointId", "u64"), 139: ("icmpTypeCodeIPv6", "u16"),
+    140: ("mplsTopLabelIPv6Address", "ip6"), 141: ("lineCardId", "u32"), 142: ("portId", "u32"), 143: ("meteringProcessId", "u32"), 144: ("exportingProcessId", "u32"), 145: ("templateId", "u16"), 146: ("wlanChannelId", "u8"),
+    147: ("wlanSSID", "str"), 148: ("flowId", "u64"), 149: ("observationDomainId", "u32"), 150: ("flowStartSeconds", "sec"), 151: ("flowEndSeconds", "sec"), 152: ("flowStartMilliseconds", "ms"), 153: ("flowEndMilliseconds", "ms"),
+    154: ("flowStartMicroseconds", "u64"), 155: ("flowEndMicroseconds", "u64"), 156: ("flowStartNanoseconds", "u64"), 157: ("flowEndNanoseconds", "u64"), 158: ("flowStartDeltaMicroseconds", "u32"),
+    159: ("flowEndDeltaMicroseconds", "u32"), 160: ("systemInitTimeMilliseconds", "ms"), 161: ("flowDurationMilliseconds", "u32"), 162: ("flowDurationMicroseconds", "u32"), 163: ("observedFlowTotalCount", "u64"),
+    164: ("ignoredPacketTotalCount", "u64"), 165: ("ignoredOctetTotalCount", "u64"), 166: ("notSentFlowTotalCount", "u64"), 167: ("notSentPacketTotalCount", "u64"), 168: ("notSentOctetTotalCount", "u64"),
+    169: ("destinationIPv6Prefix", "ip6"), 170: ("sourceIPv6Prefix", "ip6"), 171: ("postOctetTotalCount", "u64"), 172: ("postPacketTotalCount", "u64"), 173: ("flowKeyIndicator", "u64"), 176: ("icmpTypeIPv4", "u8"),
+    177: ("icmpCodeIPv4", "u8"), 178: ("icmpTypeIPv6", "u8"), 179: ("icmpCodeIPv6", "u8"), 180: ("udpSourcePort", "u16"), 181: ("udpDestinationPort", "u16"), 182: ("tcpSourcePort", "u16"), 183: ("tcpDestinationPort", "u16"),
+    184: ("tcpSequenceNumber", "u32"), 185: ("tcpAcknowledgementNumber", "u32"), 186: ("tcpWindowSize", "u16"), 187: ("tcpUrgentPointer", "u16"), 188: ("tcpHeaderLength", "u8"), 189: ("ipHeaderLength", "u8"),
+    190: ("totalLengthIPv4", "u16"), 191: ("payloadLengthIPv6", "u16"), 192: ("ipTTL", "u8"), 193: ("nextHeaderIPv6", "u8"), 195: ("ipDiffServCodePoint", "u8"), 196: ("ipPrecedence", "u8"), 197: ("fragmentFlags", "u8"),
+    200: ("mplsTopLabelTTL", "u8"), 203: ("mplsTopLabelExp", "u8"), 204: ("ipPayloadLength", "u32"), 205: ("udpMessageLength", "u16"), 206: ("isMulticast", "u8"), 208: ("ipv4Options", "u32"), 209: ("tcpOptions", "u64"),
+    210: ("paddingOctets", "oct"), 211: ("collectorIPv4Address", "ip4"), 212: ("collectorIPv6Address", "ip6"), 214: ("exportProtocolVersion", "u8"), 215: ("exportTransportProtocol", "u8"), 216: ("collectorTransportPort", "u16"),
+    217: ("exporterTransportPort", "u16"), 224: ("ipTotalLength", "u64"), 225: ("postNATSourceIPv4Address", "ip4"), 226: ("postNATDestinationIPv4Address", "ip4"), 227: ("postNAPTSourceTransportPort", "u16"),
+    228: ("postNAPTDestinationTransportPort", "u16"), 229: ("natOriginatingAddressRealm", "u8"), 230: ("natEvent", "u8"), 231: ("initiatorOctets", "u64"), 232: ("responderOctets", "u64"), 233: ("firewallEvent", "u8"),
+    234: ("ingressVRFID", "u32"), 235: ("egressVRFID", "u32"), 236: ("VRFname", "str"), 239: ("biflowDirection", "u8"), 243: ("dot1qVlanId", "u16"), 244: ("dot1qPriority", "u8"), 245: ("dot1qCustomerVlanId", "u16"),
+    252: ("ingressPhysicalInterface", "u32"), 253: ("egressPhysicalInterface", "u32"), 256: ("ethernetType", "u16"), 277: ("observationPointType", "u8"), 281: ("postNATSourceIPv6Address", "ip6"),
+    282: ("postNATDestinationIPv6Address", "ip6"), 286: ("anonymizationTechnique", "u16"), 297: ("natType", "u8"), 298: ("initiatorPackets", "u64"), 299: ("responderPackets", "u64"), 302: ("selectorId", "u64"),
+    305: ("samplingPacketInterval", "u32"), 306: ("samplingPacketSpace", "u32"), 312: ("absoluteError", "f64"), 313: ("relativeError", "f64"), 322: ("observationTimeSeconds", "sec"), 323: ("observationTimeMilliseconds", "ms"),
+    361: ("portRangeStart", "u16"), 362: ("portRangeEnd", "u16"), 371: ("userName", "str"), 459: ("httpStatusCode", "u16"), 460: ("httpRequestMethod", "str"), 461: ("httpRequestHost", "str"), 462: ("httpRequestTarget", "str"),
     468: ("dnsQueryName", "str"), 469: ("dnsQueryType", "u16"), 470: ("dnsResponseCode", "u16"),
 }
 _TYPES = {
@@ -47,6 +62,17 @@ _TYPES = {
 }
 
 
+_ABSTRACT: dict[str, str] = {}
+for _name, _kind in _TYPES.items():
+    _ABSTRACT.setdefault(_kind, _name.lower())
+
+
+def abstract_type(name: str, kind: str | None = None) -> str | None:
+    """The element's abstract type in lower case, by its kind or name; None of an unknown name."""
+    kind = kind or next((k for n, k in ELEMENTS.values() if n == name), None)
+    return _ABSTRACT[kind] if kind else None
+
+
 def load_registry(path: str, enterprise: int = 0) -> dict[tuple[int, int], tuple[str, str]]:
     """(enterprise, id) to (name, type) from a CSV with the columns of the public registry: ElementID, Name, Abstract Data Type. Vendors' elements come the same way."""
     with open(path, newline="", encoding="utf-8") as f:

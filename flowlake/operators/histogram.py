@@ -18,9 +18,9 @@ def bucket_width(lo: int, hi: int, target: int = 60) -> int:
     return next((w for w in WIDTHS if w * target >= hi - lo), WIDTHS[-1])
 
 
-def histogram(df: DataFrame, lo: int, hi: int, target: int = 60, where=None, layout: Layout = Layout()) -> DataFrame:
+def histogram(df: DataFrame, lo: int, hi: int, target: int = 60, where=None, layout: Layout = Layout(), width: int | None = None) -> DataFrame:
     """bucket (start, ms) and count of every bucket from the one that holds lo up to hi, empty ones too."""
-    width = bucket_width(lo, hi, target)
+    width = width or bucket_width(lo, hi, target)
     first = lo // width * width
     last = (hi - 1) // width * width if hi > lo else first - width
     t = F.col(layout.time)
@@ -33,6 +33,16 @@ def histogram(df: DataFrame, lo: int, hi: int, target: int = 60, where=None, lay
     return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("count"))
 
 
+def progressive(lo: int, hi: int, target: int = 60, parts: int = 8) -> list[tuple[int, int, int, bool]]:
+    """(begin, end, width, whether it is the last) of at most parts pieces of a histogram, latest first, each of whole buckets."""
+    width = bucket_width(lo, hi, target)
+    first = lo // width * width
+    n = max(0, -(-(hi - first) // width))
+    step = max(1, -(-n // parts))
+    starts = list(range(0, n, step))[::-1] or [0]
+    return [(first + k * width, min(hi, first + (k + step) * width), width, k == 0) for k in starts]
+
+
 def row_by_id(df: DataFrame, row: str, layout: Layout = Layout(), slack_ms: int = 3_600_000) -> DataFrame:
     """The row of an id. Time-ordered ids narrow the scan to an hour around their time."""
     rows = df

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs
-from ..plans.ast import Agg, Group, Item, Limit, Query, Select, Sort, Span, Top
+from ..plans.ast import Agg, Group, Item, Limit, Query, QueryError, Select, Sort, Span, Top
 from ..plans.fql import parse
 from .filters import Fields, compile_filter
 
@@ -96,8 +96,8 @@ def _select(df: DataFrame, select: Select | None, fields: Fields) -> DataFrame:
     return df.select(*[_item(i, fields) for i in select.items])
 
 
-def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: int = 0, cursor: str | None = None, limit: int | None = None, offset: int = 0, bounds: tuple[int, int] | None = None, sort_cap: int | None = None, approximate: bool = False) -> DataFrame:
-    """The result of a query. bounds pins the time range, cursor continues below a row id, limit and offset page rows; sort_cap limits a sort without a limit; approximate takes sketches for uniq and percentiles."""
+def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: int = 0, cursor: str | None = None, limit: int | None = None, offset: int = 0, bounds: tuple[int, int] | None = None, sort_cap: int | None = None, approximate: bool = False, row_guard: int | None = None) -> DataFrame:
+    """The result of a query. bounds pins the time range, cursor continues below a row id, limit and offset page rows; sort_cap limits a sort without a limit; approximate takes sketches for uniq and percentiles; row_guard refuses (QueryError) to group or order more rows, after a count of them."""
     query = parse(query) if isinstance(query, str) else query
     fields = Fields(df)
     span = Span("fixed", lo=bounds[0], hi=bounds[1]) if bounds else query.time
@@ -111,6 +111,8 @@ def plan(query: Query | str, df: DataFrame, layout: Layout = Layout(), now_ms: i
     group = next((s for s in reversed(stages) if isinstance(s, Group)), None)
     order = next((s for s in reversed(stages) if isinstance(s, (Top, Sort))), None)
     cut = next((s.n for s in reversed(stages) if isinstance(s, Limit)), None)
+    if row_guard is not None and (group or order) and (n := rows.count()) > row_guard:
+        raise QueryError(f"{n} rows match, more than the limit of {row_guard}: narrow the time range or add filters")
     if group:
         return _grouped(rows, group, order, cut, fields, layout, span, now_ms, approximate)
     newest = [F.col(layout.time).desc(), F.col(layout.row).desc()]

@@ -7,12 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions import exprs, tables
-from .operators import export, histogram as hist
+from .operators import catalog, export, histogram as hist
 from .operators.planner import plan
+from .operators.service import Service
 from .plans.fql import parse
 from .plans.structured import from_json
 from .sources import samples
@@ -130,6 +132,8 @@ for _f, _e in {
     "rate": f"CAST(sum(octetDeltaCount) AS BIGINT) / {_RATE}::DOUBLE", "first": "arg_min(octetDeltaCount, (sysExportTime, sysRowId))", "last": "arg_max(octetDeltaCount, (sysExportTime, sysRowId))",
 }.items():
     _group(f"agg_{_f}", "app", f"{_f}(bytes)", f"SELECT applicationName, {_e} AS {_f}_bytes {_W} GROUP BY 1")
+_add("agg_p95_sketch", f"{_ALL} | group by app | p95(packets)", f"SELECT applicationName, quantile_disc(packetDeltaCount, 0.95) AS p95_packets {_W} GROUP BY 1", approximate=True)
+_add("row_guard", f"{_ALL} | dport 22 | group by src | count()", f"SELECT sourceIPv4Address, count(*) AS count {_W} AND destinationTransportPort = 22 GROUP BY 1", row_guard=10**12)
 _group("agg_count", "app", "count()", f"SELECT applicationName, count(*) AS count {_W} GROUP BY 1")
 _group("group_limit", "src", "sum(bytes)", f"SELECT sourceIPv4Address, CAST(sum(octetDeltaCount) AS BIGINT) AS sum_bytes {_W} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7", " | limit 7")
 _group("top_groups", "src", "count()", f"SELECT sourceIPv4Address, n AS count FROM (SELECT sourceIPv4Address, count(*) AS n, sum(octetDeltaCount) AS s {_W} GROUP BY 1) ORDER BY s DESC, 1 LIMIT 5", " | top 5 by sum(bytes)")
@@ -163,6 +167,33 @@ QUERIES["hist_zero_fill"] = lambda spark, d: hist.histogram(flows(spark, d), _LO
 SQL["hist_zero_fill"] = _hist_sql("true", _LO - 5 * _DAY, _LO + 2 * _DAY)
 
 
+def _progressive(spark: SparkSession, d: str) -> DataFrame:
+    pieces = [hist.histogram(flows(spark, d), lo, hi, width=w) for lo, hi, w, _ in hist.progressive(_LO, _HI, parts=4)]
+    return reduce(DataFrame.union, pieces)
+
+
+QUERIES["histogram_progressive"] = _progressive
+SQL["histogram_progressive"] = _hist_sql("true")
+QUERIES["columns_compact"] = lambda spark, d: (lambda df: df.select("sysRowId", *catalog.visible_columns(df.columns)))(flows(spark, d))
+SQL["columns_compact"] = _sql("SELECT sysRowId, sysExportTime, sourceIPv4Address, sourceTransportPort, destinationIPv4Address, destinationTransportPort, protocolIdentifier, octetDeltaCount, flowDurationMilliseconds, tcpControlBits, packetDeltaCount FROM flows")
+QUERIES["element_registry"] = lambda spark, d: catalog.elements(spark).withColumn("n_chars", F.length("name"))
+QUERIES["result_types"] = lambda spark, d: spark.createDataFrame([(c, catalog.result_type(c)) for c in flows(spark, d).columns], "name string, type string")
+_KNOWN = {"applicationName": "string", "destinationIPv4Address": "ipv4address", "destinationTransportPort": "unsigned16", "flowDurationMilliseconds": "unsigned32", "octetDeltaCount": "unsigned64", "packetDeltaCount": "unsigned64", "protocolIdentifier": "unsigned8", "sourceIPv4Address": "ipv4address", "sourceMacAddress": "macaddress", "sourceTransportPort": "unsigned16", "sysExportTime": "uint64", "sysRowId": "unknown", "tcpControlBits": "unsigned16"}
+SQL["result_types"] = _sql("SELECT column_name AS name, " + "CASE column_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KNOWN.items()) + " END AS type FROM (DESCRIBE FROM flows)")
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """The third page of a query, by cursors, with the columns pinned that the first page had and one that is gone."""
+    service, asked = Service(lambda: flows(spark, d)), {"query": f"{_ALL} | dport 22 | select bytes, sysRowId", "limit": 10}
+    for _ in range(2):
+        asked |= {"cursor": service.query(asked)["next_cursor"], "schema_columns": ["octetDeltaCount", "sysRowId", "vlanId"]}
+    return spark.createDataFrame([tuple(r) for r in service.query(asked)["rows"]], "octetDeltaCount long, sysRowId long, vlanId int")
+
+
+QUERIES["page_pinned_columns"] = _pages
+SQL["page_pinned_columns"] = _sql(f"SELECT octetDeltaCount, sysRowId, CAST(NULL AS INTEGER) AS vlanId {_W} AND destinationTransportPort = 22 ORDER BY {_NEW} LIMIT 10 OFFSET 20")
+
+
 def _derived(name: str, column: Callable[[], Column], sql: str) -> None:
     QUERIES[name] = lambda spark, d: flows(spark, d).select("sysRowId", column().alias("x"))
     SQL[name] = _sql(f"SELECT sysRowId, {sql} AS x FROM flows")

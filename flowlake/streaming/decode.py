@@ -37,7 +37,12 @@ def _frame(rows: list[dict], fields: tuple) -> pd.DataFrame:
             return float(v) if isinstance(v, (int, float)) else None
         return v if isinstance(v, bytes if t == "binary" else str) else None
 
-    return pd.DataFrame({n: pd.array([fits(r.get(n), t) for r in rows], dtype="Int64") if t in _TOP else pd.Series([fits(r.get(n), t) for r in rows], dtype="float64" if t == "double" else object) for n, t in fields})
+    def column(n: str, t: str):
+        values = [fits(r.get(n), t) for r in rows] if n in there else [None] * len(rows)
+        return pd.array(values, dtype="Int64") if t in _TOP else pd.Series(values, dtype="float64" if t == "double" else object)
+
+    there = set().union(*rows)
+    return pd.DataFrame({n: column(n, t) for n, t in fields})
 
 
 def _run(session: Session, rows) -> list[dict]:
