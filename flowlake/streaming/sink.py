@@ -30,8 +30,18 @@ def store(flows: DataFrame, path: str) -> None:
 
 
 def store_stream(flows: DataFrame, path: str, checkpoint: str, every: str = "5 seconds", once: bool = False):
+    """The running query. once: what is there now, then it ends."""
     writer = with_hours(with_row_ids(flows)).writeStream.format("parquet").outputMode("append").partitionBy(*PARTITIONS).option("path", path).option("checkpointLocation", checkpoint).option("compression", "zstd")
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
+    if not once:
+        return writer.trigger(processingTime=every).start()
+    # State that times out asks for empty batches without end; the query takes a copy of the settings as it starts.
+    conf, key = flows.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
 
 
 def compact(spark: SparkSession, path: str, hour: datetime, target: str, rows_per_file: int = 5_000_000) -> None:

@@ -87,7 +87,7 @@ def test_stream_store_compact_retain(spark, tmp_path):
     df.write.parquet(src)
     flows = decode_stream(spark.readStream.schema(schema).parquet(src))
     q = sink.store_stream(flows, out, str(tmp_path / "cp"), once=True)
-    q.awaitTermination(90)
+    assert q.awaitTermination(90) and q.exception() is None
     stored = spark.read.parquet(out)
     assert [(r.sourceIPv4Address, r.year, r.hour) for r in stored.collect()] == [(3232235777, 2023, 22)]
     batch, merged = str(tmp_path / "batch"), str(tmp_path / "compact")
